@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator over its whole table."""
 
-from terrafold.llm import linededup
+from terrafold.llm import decontam, linededup, minhash
 from terrafold.llm.base import table
 
 
@@ -8,6 +8,14 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op2_decontamination(spark, sf_dir):
+    return decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE}
+
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op9_minhash": op9_minhash}
+
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE}
