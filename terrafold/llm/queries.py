@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator over its whole table."""
 
-from terrafold.llm import decontam, linededup, minhash
+from terrafold.llm import bpe, decontam, linededup, minhash, quality, sharding, urlfilter
 from terrafold.llm.base import table
 
 
@@ -12,10 +12,28 @@ def op2_decontamination(spark, sf_dir):
     return decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.keep_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hosts = spark.createDataFrame([("http://casino-win.example.com/",), ("free-bets.example.com",)], "url string")
+    return urlfilter.filter_urls(pages, pages.filter("page_id % 7 = 0").select("url").unionAll(hosts))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op9_minhash": op9_minhash}
+def op10_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_bpe, op5_quality, op6_url_filter, op9_minhash, op10_sharding)}
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE}
