@@ -1,8 +1,56 @@
-"""Pipeline over documents."""
+"""The corpus pipeline over documents: quality rules, line dedup, near-duplicates, decontamination, encoding.
 
-STAGES = []
+`STAGES` lists its steps as (name, function of (spark, docs, sf_dir)); each works on all that the one before kept, and
+all but the last return the columns of documents. `run` applies them in turn; each result is written as Parquet in the
+shared folder and read again, so that no stage runs twice and lost executors cost no more than their tasks.
+"""
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.llm import bpe, decontam, linededup, minhash, quality
+from terrafold.llm.base import shared_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the risk-controlled rules keep; the cutoffs are set on the labelled ones among docs."""
+    return quality.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines are deleted; a document of which nothing but blanks is left goes."""
+    out = linededup.dedup_lines(docs)
+    return out.filter((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; documents that are mostly such go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, tokens, n_tokens, exact)."""
+    return bpe.encode(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+
+#: Learning a lexicon, exact binomial cutoffs and connected components are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator over its whole table."""
 
-from terrafold.llm import bpe, decontam, linededup, minhash, quality, sharding, urlfilter
+from terrafold.llm import bpe, decontam, linededup, lm, minhash, quality, secrets, sharding, urlfilter
 from terrafold.llm.base import table
 
 
@@ -12,6 +12,10 @@ def op2_decontamination(spark, sf_dir):
     return decontam.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op6_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(pages, pages.filter("page_id % 7 = 0").select("url").unionAll(hosts))
 
 
+def op7_lm_score(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,6 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op4_bpe, op5_quality, op6_url_filter, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_secrets, op4_bpe, op5_quality, op6_url_filter, op7_lm_score, op9_minhash, op10_sharding)}
 
 ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE}
