@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator over its whole table."""
 
-from terrafold.llm import bpe, decontam, linededup, lm, minhash, quality, secrets, sharding, urlfilter
+from terrafold.llm import bpe, decontam, linededup, lm, minhash, quality, secrets, sharding, suffixes, urlfilter
 from terrafold.llm.base import table
 
 
@@ -34,6 +34,10 @@ def op7_lm_score(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark, sf_dir):
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_secrets, op4_bpe, op5_quality, op6_url_filter, op7_lm_score, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_secrets, op4_bpe, op5_quality, op6_url_filter, op7_lm_score, op8_suffix_array, op9_minhash, op10_sharding)}
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op8_suffix_array": suffixes.ORACLE}
