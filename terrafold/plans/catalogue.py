@@ -60,7 +60,7 @@ SCORE = "(CASE WHEN lang = 'en' THEN 50 ELSE 0 END + CASE WHEN length(text) > 10
 
 @query(f"""WITH {FILES}, g AS (SELECT *, {LINES} AS n, {SENTENCE.format("text")} AS s, {SCORE} AS score FROM f)
 SELECT source AS package, count(*) AS file_count, CAST(sum(n) AS BIGINT) AS line_count, coalesce(arg_min(s, rel_path) FILTER (WHERE s <> '' AND octet_length(encode(s)) = length(s)), '') AS purpose,
-  arg_min(rel_path, (1000 - score) || ':' || rel_path) AS entry_point, sha256(string_agg(rel_path || chr(0) || content_hash || chr(0), '' ORDER BY rel_path)) AS fingerprint FROM g GROUP BY source""")
+  first(rel_path ORDER BY score DESC, rel_path) AS entry_point, sha256(string_agg(rel_path || chr(0) || content_hash || chr(0), '' ORDER BY rel_path)) AS fingerprint FROM g GROUP BY source""")
 def package_rollup(spark, sf_dir):
     f = files(spark, sf_dir)
     score = F.when(F.col("lang") == "en", 50).otherwise(0) + F.when(F.col("size") > 1000, 20).otherwise(0) + F.when(F.col("doc_id") % 3 == 0, 10).otherwise(0)
