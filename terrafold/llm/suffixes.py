@@ -4,11 +4,13 @@ Anchors bring equal passages into one shard: of each window of MIN_WORDS words t
 `ANCHOR` words is one, so every passage long enough has the same anchors wherever it stands. A window around its
 anchor holds the `HALF` words up to the anchor's end or the HALF from its start; anchors of which neither stands
 twice are in no repeated window and go. For the others the words that such windows can reach, the neighbourhoods,
-are collected by anchor, equal ones once. A shard's neighbourhoods make one text, whose suffix array and common-prefix
+are collected by anchor, equal ones once; if all of an anchor's are equal, they are copies. Else a shard's neighbourhoods make one text, whose suffix array and common-prefix
 lengths are computed by external induced sorting (`induced`); suffixes that share MIN_WORDS words or more with a
 neighbour there begin repeated windows. Their unions, put back into the documents, are the passages.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from terrafold.llm import induced, tok
 from terrafold.llm.base import clean_spark_dir, cut, shared_dir, small_batches
+from terrafold.llm.urlfilter import BITS_PER_KEY, BROADCAST_BYTES, bloom, possible
 
 MIN_WORDS = 50
 ANCHOR = 8
@@ -67,7 +70,8 @@ def _anchors(w: tok.Words):
     return d, q - at_doc, p[tails] - at_doc, g[q], left[heads], right[heads], nb[heads], low[heads] - at_doc, high[heads] - at_doc
 
 
-_PLACES = "doc_id bigint, th bigint, p bigint, q bigint, anchor bigint, lh bigint, rh bigint, nb bigint"
+_PLACES = "doc_id bigint, th bigint, p int, q int, before int, behind int, anchor bigint, lh bigint, rh bigint, nb bigint"
+_NEAR = "anchor bigint, nb bigint, off bigint, often bigint, low_doc bigint, high_doc bigint, words array<bigint>"
 
 
 def _places(batches):
@@ -76,10 +80,11 @@ def _places(batches):
             found = _anchors(tok.Words(part))
             if found is None:
                 continue
-            d, p, q, g, left, right, nb, _, _ = found
+            d, p, q, g, left, right, nb, low, high = found
             rows = pa.array(d + at)
+            small = [pa.array(x.astype(np.int32)) for x in (p, q, p - low, high - p)]
             numbers = [pa.array(x.astype(np.uint64).view(np.int64)) for x in (g, left, right, nb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p), pa.array(q), *numbers], ["doc_id", "th", "p", "q", "anchor", "lh", "rh", "nb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *small, *numbers], ["doc_id", "th", "p", "q", "before", "behind", "anchor", "lh", "rh", "nb"])
 
 
 def _neighbourhoods(batches):
@@ -88,7 +93,7 @@ def _neighbourhoods(batches):
         for at, part in tok.slices(batch.column(0)):
             w = tok.Words(part)
             wanted = batch.column(1).slice(at, len(part)).to_pylist()
-            anchor, nb, off, low, high = [], [], [], [], []
+            off, low, high, known = [], [], [], {k: [] for k in ("anchor", "nb", "often", "low_doc", "high_doc")}
             for d, places in enumerate(wanted):
                 a, z = int(w.first[d]), int(w.first[d + 1])
                 for x in places:
@@ -96,14 +101,16 @@ def _neighbourhoods(batches):
                     low.append(max(p - REACH, a))
                     high.append(min(p + MIN_WORDS, z))
                     off.append(p - low[-1])
-                    anchor.append(x["anchor"])
-                    nb.append(x["nb"])
+                    for k, column in known.items():
+                        column.append(x[k])
             low, high = np.array(low, np.int64), np.array(high, np.int64)
             size = high - low
             starts = np.cumsum(size) - size
             words = w.hash[np.repeat(low - starts, size) + np.arange(int(size.sum()))]
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, size.sum()).astype(np.int32)), pa.array(words.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(nb, pa.int64()), pa.array(off, pa.int64()), lists], ["anchor", "nb", "off", "words"])
+            number = {"off": off, **known}
+            names = ["anchor", "nb", "off", "often", "low_doc", "high_doc"]
+            yield pa.RecordBatch.from_arrays([*[pa.array(number[k], pa.int64()) for k in names], lists], [*names, "words"])
 
 
 def repeats(sizes: np.ndarray, words: np.ndarray, anchor: np.ndarray, off: np.ndarray, low_doc: np.ndarray, high_doc: np.ndarray, often: np.ndarray, block: int, memory: int, folder: str | None):
@@ -152,7 +159,10 @@ def _repeated(batches, block: int, memory: int, folder: str):
     if not parts:
         return
     t = pa.Table.from_batches(parts).combine_chunks()
-    words = t.column("words").combine_chunks()
+    # rows that repeat a doc_id and its text give a neighbourhood more than once
+    pairs = np.stack([t.column(c).to_numpy() for c in ("anchor", "nb")], axis=1)
+    t = t.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
+    words = pa.concat_arrays(t.column("words").chunks)
     sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
     number = lambda c: t.column(c).to_numpy()
     nb, a, z, lo, hi = repeats(sizes, words.flatten().to_numpy().view(np.uint64), number("anchor"), number("off"), number("low_doc"), number("high_doc"), number("often"), block, memory, folder)
@@ -173,22 +183,28 @@ def repeated_passages(docs: DataFrame, block: int = induced.BLOCK, memory: int =
     small_batches(spark)
     folder = clean_spark_dir(shared_dir(spark))
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    places = cut(rows.mapInArrow(_places, _PLACES))
-    halves = places.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lh").alias("h")), F.struct(F.lit(1).alias("side"), F.col("rh").alias("h")))).alias("k"), (F.col("q") - F.col("p") + 1).alias("n")).filter("k.h <> 0")
-    twice = halves.groupBy("anchor", "k").agg(F.sum("n").alias("n")).filter("n > 1")
-    sides = twice.groupBy("anchor").agg(F.collect_set("k").alias("ks"))
-    alive = places.join(sides, "anchor").filter(F.array_contains("ks", F.struct(F.lit(0).alias("side"), F.col("lh").alias("h"))) | F.array_contains("ks", F.struct(F.lit(1).alias("side"), F.col("rh").alias("h"))))
-    alive = cut(alive.select("doc_id", "th", "p", "q", "anchor", "nb"))
-    kinds = alive.groupBy("anchor", "nb").agg(F.min(F.struct("doc_id", "th", "p")).alias("at"), F.sum(F.col("q") - F.col("p") + 1).alias("often"), F.min("doc_id").alias("low_doc"), F.max("doc_id").alias("high_doc"))
-    kinds = cut(kinds)
-    wanted = kinds.groupBy(F.col("at.doc_id").alias("wid"), F.col("at.th").alias("wth")).agg(F.collect_list(F.struct("at.p", "nb", "anchor")).alias("places"))
-    # rows that repeat a doc_id and its text give their neighbourhoods more than once
-    found = rows.join(wanted, (F.col("doc_id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "places").mapInArrow(_neighbourhoods, "anchor bigint, nb bigint, off bigint, words array<bigint>")
-    found = found.groupBy("anchor", "nb").agg(F.first("off").alias("off"), F.first("words").alias("words"))
-    found = found.join(kinds.select("anchor", "nb", "often", "low_doc", "high_doc"), ["anchor", "nb"]).select("anchor", "nb", "off", "words", "often", "low_doc", "high_doc")
-    shards = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-    spans = shards.mapInArrow(lambda it: _repeated(it, block, memory, folder), "nb bigint, anchor bigint, a bigint, z bigint, lo bigint, hi bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange by anchor serves the counts of both halves
+    places = rows.mapInArrow(_places, _PLACES).repartition(parts, "anchor")
+    n = F.sum(F.col("q") - F.col("p") + 1)
+    counted = places.withColumn("ln", n.over(Window.partitionBy("anchor", "lh"))).withColumn("rn", n.over(Window.partitionBy("anchor", "rh")))
+    alive = cut(counted.filter("lh <> 0 and ln > 1 or rh <> 0 and rn > 1").select("doc_id", "th", "p", "q", "before", "behind", "anchor", "nb"))
+    kinds = alive.groupBy("anchor", "nb").agg(F.min(F.struct("doc_id", "th", "p")).alias("at"), n.alias("often"), F.min("doc_id").alias("low_doc"), F.max("doc_id").alias("high_doc"))
+    # of an anchor with equal neighbourhoods only, no more is to be found; those of the others are compared
+    kinds = cut(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))))
+    wanted = kinds.filter("kinds > 1").groupBy(F.col("at.doc_id").alias("wid"), F.col("at.th").alias("wth")).agg(F.collect_list(F.struct("at.p", "nb", "anchor", "often", "low_doc", "high_doc")).alias("places"))
+    wanted = cut(wanted)
+    texts = rows.withColumn("key", F.concat_ws("/", "doc_id", "th"))
+    blocks = max(1, math.ceil(wanted.count() * BITS_PER_KEY / 512))
+    if blocks * 80 <= BROADCAST_BYTES:
+        # the texts that have nothing to compare mostly needn't be exchanged; what passes in error falls out of the join
+        texts = possible(texts, bloom(wanted.select(F.concat_ws("/", "wid", "wth").alias("key")), blocks), blocks)
+    found = texts.join(wanted, (F.col("doc_id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "places").mapInArrow(_neighbourhoods, _NEAR)
+    spans = found.repartition(parts, "anchor").mapInArrow(lambda it: _repeated(it, block, memory, folder), "nb bigint, anchor bigint, a bigint, z bigint, lo bigint, hi bigint")
     back = alive.join(spans, ["anchor", "nb"]).select("doc_id", "th", (F.col("p") + F.col("a")).alias("a"), (F.col("q") + F.col("z")).alias("z"), "lo", "hi")
+    alike = kinds.filter("kinds = 1 and often > 1").select("anchor", "nb", F.col("low_doc").alias("lo"), F.col("high_doc").alias("hi"))
+    same = alive.join(alike, ["anchor", "nb"]).filter(F.col("before") + F.col("behind") >= MIN_WORDS).select("doc_id", "th", (F.col("p") - F.col("before")).cast("bigint").alias("a"), (F.col("q") + F.col("behind")).cast("bigint").alias("z"), "lo", "hi")
+    back = back.unionAll(same)
     w = Window.partitionBy("doc_id", "th").orderBy("a", "z")
     far = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = back.withColumn("new", F.when(far.isNull() | (F.col("a") > far), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
