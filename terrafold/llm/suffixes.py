@@ -23,6 +23,8 @@ from terrafold.llm.urlfilter import BITS_PER_KEY, BROADCAST_BYTES, bloom, possib
 MIN_WORDS = 50
 ANCHOR = 8
 HALF = (MIN_WORDS + 1) // 2
+#: Words of a shard on average; one with a very frequent anchor can be far larger.
+SHARD_WORDS = 1 << 19
 REACH = MIN_WORDS - ANCHOR  # words before and after an anchor that a window may have
 
 
@@ -200,7 +202,9 @@ def repeated_passages(docs: DataFrame, block: int = induced.BLOCK, memory: int =
         # the texts that have nothing to compare mostly needn't be exchanged; what passes in error falls out of the join
         texts = possible(texts, bloom(wanted.select(F.concat_ws("/", "wid", "wth").alias("key")), blocks), blocks)
     found = texts.join(wanted, (F.col("doc_id") == F.col("wid")) & (F.col("th") == F.col("wth"))).select("text", "places").mapInArrow(_neighbourhoods, _NEAR)
-    spans = found.repartition(parts, "anchor").mapInArrow(lambda it: _repeated(it, block, memory, folder), "nb bigint, anchor bigint, a bigint, z bigint, lo bigint, hi bigint")
+    near = kinds.filter("kinds > 1").count()
+    shards = max(parts, math.ceil(near * (REACH + MIN_WORDS) / SHARD_WORDS))
+    spans = found.repartition(shards, "anchor").mapInArrow(lambda it: _repeated(it, block, memory, folder), "nb bigint, anchor bigint, a bigint, z bigint, lo bigint, hi bigint")
     back = alive.join(spans, ["anchor", "nb"]).select("doc_id", "th", (F.col("p") + F.col("a")).alias("a"), (F.col("q") + F.col("z")).alias("z"), "lo", "hi")
     alike = kinds.filter("kinds = 1 and often > 1").select("anchor", "nb", F.col("low_doc").alias("lo"), F.col("high_doc").alias("hi"))
     same = alive.join(alike, ["anchor", "nb"]).filter(F.col("before") + F.col("behind") >= MIN_WORDS).select("doc_id", "th", (F.col("p") - F.col("before")).cast("bigint").alias("a"), (F.col("q") + F.col("behind")).cast("bigint").alias("z"), "lo", "hi")
