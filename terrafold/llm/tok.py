@@ -92,7 +92,7 @@ class Words:
         edge = word[1:] != word[:-1]
         inner = off[1:-1]
         inner = inner[(inner > 0) & (inner < n)]
-        joined = inner[word[inner] & word[inner + 1]]  # two documents whose words touch
+        joined = np.unique(inner[word[inner] & word[inner + 1]])  # two documents whose words touch, empty ones between them or not
         at = np.flatnonzero(edge)
         if len(joined):
             at = np.sort(np.concatenate([at, joined, joined]))
