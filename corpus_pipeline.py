@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import bpe, decontam, linededup, minhash, quality
-from terrafold.llm.base import shared_dir, table
+from terrafold.llm.base import free_name, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are deleted; a document of which nothing but blanks is left goes."""
-    out = linededup.dedup_lines(docs)
-    return out.filter((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    removed = free_name(docs, "removed")
+    out = linededup.dedup_lines(docs, counted=removed)
+    return out.filter((F.col(removed) == 0) | F.col("text").rlike(r"\S")).drop(removed)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; documents that are mostly such go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    removed = free_name(docs, "removed")
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), counted=removed).drop(removed)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

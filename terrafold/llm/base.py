@@ -1,6 +1,6 @@
 """What the operators of this subpackage share."""
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,9 +57,14 @@ def restored(df: DataFrame, docs: DataFrame, *extra: str) -> DataFrame:
     return df.select(*out, *extra)
 
 
-def clean_spark_dir(path: str) -> str:
-    return path[5:] if path.startswith("file:") and not path.startswith("file://") else path.removeprefix("file://")
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until docs have no column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(clean_spark_dir(path))
+def clean_spark_dir(path: str) -> str:
+    """A local path of a folder given as one or as a file: URL."""
+    return re.sub("^file:/+", "/", path)

@@ -129,13 +129,13 @@ def _scan(batches, grams, final: bool, drop_share: float):
         yield out.filter(pa.array(stay)) if not stay.all() else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_item: int = MIN_ITEM, drop_share: float = DROP_SHARE) -> DataFrame:
-    """docs without the passages they share with the benchmark, and `words_removed`; documents of little else go.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_item: int = MIN_ITEM, drop_share: float = DROP_SHARE, counted: str = "words_removed") -> DataFrame:
+    """docs without the passages they share with the benchmark, and their number of words, in a column named by `counted`; documents of little else go.
 
     A passage is a run of `n` words or more that an item also has, whatever the case and punctuation; an item of fewer
     words, but at least `min_item`, counts as a whole, and one of less is no passage. Null and empty texts are kept as
     they are with 0 removed; null items match nothing. Repeated rows are treated alike, each for itself. Texts are
-    scanned whole. Further columns are kept; a column named `words_removed` gives way to the operator's, and `n_chars`,
+    scanned whole. Further columns are kept; a column of that name gives way to the operator's, and `n_chars`,
     if there, is computed anew. An empty benchmark leaves all as it is.
     """
     spark = docs.sparkSession
@@ -143,14 +143,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_ite
     items = benchmark.select("text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / SET_BYTES))
-    d = docs.select("text", F.lit(None).cast("array<struct<a:int,z:int>>").alias("marks"), "doc_id", others(docs, "doc_id", "text", "words_removed"))
+    d = docs.select("text", F.lit(None).cast("array<struct<a:int,z:int>>").alias("marks"), "doc_id", others(docs, "doc_id", "text", counted))
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
         grams = gram_set([r[0] for r in part.toLocalIterator()], n, min_item)
         final = k == parts - 1
         schema = d.schema if not final else d.drop("marks").select("text", F.lit(0).cast("bigint").alias("words_removed"), "doc_id", "rest").schema
         d = d.mapInArrow(lambda it, g=grams, f=final: _scan(it, g, f, drop_share), schema)
-    return restored(d, docs, "words_removed")
+    return restored(d.withColumnRenamed("words_removed", counted), docs, counted)
 
 
 _W = "0-9A-Za-z_\\x{C0}-\\x{1FFF}\\x{2080}-\\x{2FFF}\\x{3040}-\\x{10FFFF}"

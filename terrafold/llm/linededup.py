@@ -85,25 +85,25 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.select("doc_id", "th", F.explode("ls").alias("l")).groupBy("doc_id", "th").agg(F.collect_set("l").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the lines of later repeated runs deleted; a further column `lines_removed` counts them.
+def dedup_lines(docs: DataFrame, window: int = WINDOW, counted: str = "lines_removed") -> DataFrame:
+    """docs with the lines of later repeated runs deleted; a further column, named by `counted`, counts them.
 
     A run is `window` or more consecutive non-blank lines, compared without outer blanks and tabs; blank lines are
     neither counted nor deleted. Null text stays null, and an empty one empty, with 0 removed. A null doc_id comes
     last in order. Rows equal in doc_id and text are one place: they get the same result, and don't count as copies of
     each other. Texts of any length are processed whole. Further columns are kept; of a column named like the
-    operator's own (`lines_removed`), the operator's is kept, and `n_chars`, if there, is computed anew.
+    operator's own, the operator's is kept, and `n_chars`, if there, is computed anew.
     """
     gone = repeated_lines(docs, window)
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), others(docs, "doc_id", "text", "lines_removed"))
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("th"), others(docs, "doc_id", "text", counted))
     g = gone.select(F.col("doc_id").alias("gid"), F.col("th").alias("gth"), "gone")
     joined = d.join(g, d["doc_id"].eqNullSafe(g["gid"]) & (d["th"] == g["gth"]), "left")
     stay = "array_except(sequence(0, size(ls) - 1), gone)"
     joined = joined.withColumn("ls", F.when(F.col("gone").isNotNull(), F.expr(r"split(text, '\n', -1)")))
     kept = F.expr(f"array_join(transform({stay}, i -> ls[i]), '\\n')")
-    out = joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), "rest", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("lines_removed"))
-    out = out.withColumn("lines_removed", F.greatest("lines_removed", F.lit(0)))
-    return restored(out, docs, "lines_removed")
+    out = joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), "rest", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias(counted))
+    out = out.withColumn(counted, F.greatest(F.col(counted), F.lit(0)))
+    return restored(out, docs, counted)
 
 
 ORACLE = rf"""

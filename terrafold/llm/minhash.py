@@ -140,6 +140,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that `near_duplicates` says go; rows that repeat a kept row whole are one row."""
+    """docs without the documents that `near_duplicates` says go; of rows with the same doc_id and text one stays, those with a null doc_id all do."""
     gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias("gone_id"))
-    return docs.dropDuplicates().join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    named = docs.filter(docs["doc_id"].isNotNull()).dropDuplicates(["doc_id", "text"])
+    return named.join(gone, named["doc_id"] == gone["gone_id"], "left_anti").unionByName(docs.filter(docs["doc_id"].isNull()))
