@@ -14,12 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none, as in tests."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="terrafold-")
-    sc.setCheckpointDir(own)
-    return own
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        named = named or tempfile.mkdtemp(prefix="terrafold-")
+        sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

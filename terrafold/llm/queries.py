@@ -48,4 +48,4 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op3_secrets, op4_bpe, op5_quality, op6_url_filter, op7_lm_score, op8_suffix_array, op9_minhash, op10_sharding)}
 
-ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op8_suffix_array": suffixes.ORACLE}
+ORACLES = {"op1_line_dedup": linededup.ORACLE, "op2_decontamination": decontam.ORACLE, "op6_url_filter": urlfilter.ORACLE, "op8_suffix_array": suffixes.ORACLE, "op10_sharding": sharding.ORACLE}

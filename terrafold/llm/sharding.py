@@ -90,3 +90,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, n_bytes, shard): documents in order of doc_id, with the bytes of their texts as sizes; a null text has 0."""
     out = shard(docs.select(F.col("doc_id").alias("key"), F.octet_length("text").cast("bigint").alias("size")), shards)
     return out.select(F.col("key").alias("doc_id"), F.col("size").alias("n_bytes"), "shard")
+
+
+ORACLE = f"""
+WITH RECURSIVE g AS (SELECT doc_id, coalesce(sum(octet_length(encode(text))), 0)::BIGINT AS size FROM documents GROUP BY doc_id),
+p AS (SELECT doc_id, size, (sum(size) OVER (ORDER BY doc_id NULLS FIRST))::BIGINT AS prefix FROM g),
+t AS (SELECT max(size)::BIGINT AS largest, sum(size)::BIGINT AS total FROM g),
+s(lo, hi, reached, n) AS (
+  SELECT greatest(largest, -(-total // {SHARDS})), -(-total // {SHARDS}) + largest, 0::BIGINT, 0::BIGINT FROM t
+  UNION ALL
+  SELECT CASE WHEN next < total AND n + 1 >= {SHARDS} THEN mid + 1 ELSE lo END, CASE WHEN next >= total THEN mid ELSE hi END,
+         CASE WHEN next >= total OR n + 1 >= {SHARDS} THEN 0 ELSE next END, CASE WHEN next >= total OR n + 1 >= {SHARDS} THEN 0 ELSE n + 1 END
+  FROM (SELECT lo, hi, n, (lo + hi) // 2 AS mid, max(prefix) AS next, max(total) AS total FROM s, t, p WHERE lo < hi AND prefix <= reached + (lo + hi) // 2 GROUP BY lo, hi, reached, n)),
+c AS (SELECT min(lo) AS capacity FROM s WHERE lo = hi),
+cuts(k, reached) AS (
+  SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT k + 1, next FROM (SELECT k, reached, max(prefix) AS next, max(total) AS total FROM cuts, c, t, p WHERE reached < total AND prefix <= reached + capacity GROUP BY k, reached))
+SELECT doc_id, size AS n_bytes, (SELECT count(*) FROM cuts WHERE cuts.k > 0 AND cuts.reached < p.prefix AND cuts.reached < (SELECT total FROM t))::INTEGER AS shard FROM p
+"""
