@@ -19,6 +19,8 @@ from terrafold.plans.render import MarkdownRenderer, PathsRenderer, declared_has
 from terrafold.sources import extract, manifests, tree
 
 VERSION = 1
+#: Up to so many files the driver compares names, times and sizes itself; a Spark job costs more than that.
+LOCAL_FILES = 50_000
 PACKAGE = "language string, relative_path string, import_path string, purpose string, file_count bigint, line_count bigint, files array<struct<name:string,line_count:bigint,purpose:string,key_types:array<string>,key_funcs:array<string>>>, " + f"exported_types array<{extract.TYPE}>, imports array<string>, entry_point string, fingerprint string"
 
 
@@ -97,14 +99,25 @@ class State:
             return None
         return m if isinstance(m, dict) and m.get("version") == VERSION else None
 
+    def index(self) -> dict | None:
+        """Names, times and sizes, if the state is of a tree small enough to have them in one file."""
+        try:
+            with open(os.path.join(self.folder, "index.json")) as f:
+                return json.load(f)
+        except (OSError, ValueError):
+            return None
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, name))
 
-    def write(self, meta: dict, **tables: DataFrame) -> None:
+    def write(self, meta: dict, index: dict | None, **tables: DataFrame) -> None:
         """All at once: to a folder beside, which then takes the old one's place."""
         new = f"{self.folder}.{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(os.path.join(new, name))
+        if index is not None:
+            with open(os.path.join(new, "index.json"), "w") as f:
+                json.dump(index, f)
         with open(os.path.join(new, "meta.json"), "w") as f:
             json.dump({"version": VERSION, **meta}, f)
         old = f"{new}.old"
@@ -139,8 +152,11 @@ class Engine:
 
     def unchanged(self) -> bool:
         """Whether the tree's names, times and sizes are those of the saved state."""
-        if self.state.meta() is None:
+        meta = self.state.meta()
+        if meta is None:
             return False
+        if meta["n_files"] <= LOCAL_FILES and (saved := self.state.index()) is not None:
+            return saved == self._index(tree.walk(self.root, self.languages))
         rows, files = self._scan()
         checks = [
             state.matches(self.state.table("files"), files, "rel_path", "size", "mtime_ns"),
@@ -149,6 +165,19 @@ class Engine:
         ]
         return all(c.first()[0] for c in checks)
 
+    def _index(self, rows) -> dict:
+        """What `unchanged` compares, as plain lists."""
+        own = {n for n in (self.o.output, self.o.paths_output, self.o.state) if "/" not in n}
+        out: dict[str, dict] = {"files": {}, "dirs": {}, "entries": {}}
+        for kind, rel, _, size, mtime, _, _ in rows:
+            if kind == "file":
+                out["files"][rel] = [size, mtime]
+            elif kind == "dir":
+                out["dirs"][rel] = mtime
+            elif kind == "root_entry" and rel not in own:
+                out["entries"][rel] = True
+        return out
+
     def hashed(self, files: DataFrame) -> DataFrame:
         """files with content_hash, taken from the state where size and time agree, else from the content."""
         if self.state.meta() is None:
@@ -175,8 +204,8 @@ class Engine:
 
     def is_stale(self) -> bool:
         """Whether an output is missing or was made of other contents."""
-        declared = self.declared()
-        return "" in declared or any(h != self.current_hash() for h in set(declared))
+        declared = set(self.declared())
+        return "" in declared or declared != {self.current_hash()}
 
     def ensure_up_to_date(self) -> tuple[Snapshot | None, bool]:
         """Generates the outputs unless they are fresh: (snapshot, True), or (None, False)."""
@@ -196,7 +225,9 @@ class Engine:
                 with open(os.path.join(self.root, name), "w", encoding="utf-8") as f:
                     f.write(renderer.render(ordered, snap.concerns, content_hash, made))
             rows = self._scan()[0]  # times of directories after the outputs were written
-            self.state.write({"aggregate_hash": content_hash, **meta}, files=files.drop("abs_path"), dirs=self._dirs(rows), root_entries=self._entries(rows), packages=cache)
+            n_files = files.count()
+            index = self._index(tree.walk(self.root, self.languages)) if n_files <= LOCAL_FILES else None
+            self.state.write({"aggregate_hash": content_hash, "n_files": n_files, **meta}, index, files=files.drop("abs_path"), dirs=self._dirs(rows), root_entries=self._entries(rows), packages=cache)
             return Snapshot(self.state.table("packages").drop("fingerprint"), snap.concerns, content_hash)
         finally:
             files.unpersist()

@@ -44,6 +44,8 @@ class Piece(InputPartition):
 
 
 class TreeReader(DataSourceReader):
+    manifests = True
+
     def __init__(self, options):
         self.root = os.path.abspath(options.get("path") or options.get("root"))
         self.content = str(options.get("withcontent", options.get("withContent", "false"))).lower() == "true"
@@ -84,7 +86,7 @@ class TreeReader(DataSourceReader):
                 entries = sorted(it, key=lambda e: e.name)
             for e in entries:
                 path = f"{rel}/{e.name}" if rel else e.name
-                if piece.root:
+                if piece.root and not rel:
                     yield ("root_entry", e.name, e.path, None, None, None, None)
                 if e.is_dir(follow_symlinks=False):
                     if piece.deep and not excluded(e.name):
@@ -92,7 +94,7 @@ class TreeReader(DataSourceReader):
                     continue
                 if not e.is_file():
                     continue
-                if e.name in MANIFEST_NAMES:
+                if self.manifests and e.name in MANIFEST_NAMES:
                     yield ("manifest", path, e.path, None, None, None, self._bytes(e.path))
                 language, program = self._language(e.name, e.path)
                 if language is None:
@@ -120,6 +122,13 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
+def walk(root: str, languages: list[str]):
+    """The rows of a tree without contents, walked here."""
+    reader = TreeReader({"path": root, "languages": ",".join(languages)})
+    reader.manifests = False
+    return reader.read(Piece("", True, True))
+
+
 def scan(spark: SparkSession, root: str, languages: list[str] | None = None, content: bool = False) -> DataFrame:
     """The rows of a tree. Any error while walking fails the scan."""
     spark.dataSource.register(TreeSource)
