@@ -5,13 +5,11 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from terrafold.operators import benchmarks, sessions
-from terrafold.plans import engine
+from terrafold.operators import benchmarks
+from terrafold.plans import engine, reports
 from terrafold.plans.options import Options
 from terrafold.sources import benchmarks as benchmark_files
-from terrafold.sources import sessions as logs
 
 
 def tree_command(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -36,21 +34,13 @@ def tree_command(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def session_command(spark: SparkSession, a: argparse.Namespace) -> int:
-    parts = []
-    if a.logs_a:
-        parts.append(logs.actions_a(logs.log_lines(spark, a.logs_a), a.repo))
-    if a.logs_b:
-        parts.append(logs.actions_b(logs.log_lines(spark, f"{a.logs_b}/{logs.project_folder(a.repo)}", False)))
-    acts = [p.filter(sessions.in_window(F.col("day"), a.since, a.until)) for p in parts]
-    folded = [sessions.fold(p) for p in acts]
-    every = folded[0] if len(folded) == 1 else folded[0].unionByName(folded[1])
-    out = {"report": [json.loads(x) for x in sessions.report(every).toJSON().collect()]}
-    if a.outcomes:
-        files = [p.select("source", "session_id", "session_file").distinct() for p in acts]
-        names = files[0] if len(files) == 1 else files[0].unionByName(files[1])
-        matched = sessions.labelled(every.join(names, ["source", "session_id"]), sessions.clean_labels(logs.outcomes(spark, a.outcomes)))
-        out["outcomes"] = sessions.success_rates(matched).first().asDict()
-    print(json.dumps(out, indent=2, default=str))
+    report = reports.session_report(spark, a.repo, a.logs_a, a.logs_b, a.since, a.until, a.outcomes)
+    print(json.dumps(report, indent=2, default=str) if a.json else reports.as_text(report))
+    return 0
+
+
+def collect_command(spark: SparkSession, a: argparse.Namespace) -> int:
+    print(reports.collect(spark, a.repos, a.out, logs_a=a.logs_a, logs_b=a.logs_b, since=a.since, until=a.until))
     return 0
 
 
@@ -76,13 +66,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     s.add_argument("--repo", required=True)
     for flag in ("--logs-a", "--logs-b", "--since", "--until", "--outcomes"):
         s.add_argument(flag)
+    s.add_argument("--json", action="store_true")
+    c = sub.add_parser("collect", help="session reports of a list of repositories")
+    c.add_argument("--repos", required=True)
+    c.add_argument("--out", required=True)
+    for flag in ("--logs-a", "--logs-b", "--since", "--until"):
+        c.add_argument(flag)
     b = sub.add_parser("benchmarks", help="latest against previous")
     b.add_argument("history")
     b.add_argument("--prefix", default="Benchmark")
     b.add_argument("--by-sample", action="store_true")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("terrafold").getOrCreate()
-    return {"tree": tree_command, "sessions": session_command, "benchmarks": benchmark_command}[a.command](spark, a)
+    return {"tree": tree_command, "sessions": session_command, "collect": collect_command, "benchmarks": benchmark_command}[a.command](spark, a)
 
 
 if __name__ == "__main__":

@@ -51,11 +51,14 @@ def with_roots(files: DataFrame, found: DataFrame) -> DataFrame:
     return g.withColumn("pkg_root", root).select(*files.columns, "pkg_root")
 
 
-def analyse(files: DataFrame, found: DataFrame, root_name: str, large: int = 10, registry=None) -> DataFrame:
-    """Packages (PACKAGE without fingerprint) from files with pkg_root and content; a package with a file that fails is left out."""
+def analyse(files: DataFrame, found: DataFrame, root_name: str, large: int = 10, registry=None, keep=lambda name, df: df) -> DataFrame:
+    """Packages (PACKAGE without fingerprint) from files with pkg_root and content; a package with a file that fails is left out.
+
+    keep(name, df) may write what is used more than once, as the symbols are, and give it back read again.
+    """
     names = manifests.names(found)
     module = names.filter("language = 'go' and dir = '.'").select(F.lit("go").alias("gl"), F.col("name").alias("module"))
-    sym = extract.symbols_of(files.select("language", "pkg_root", "rel_path", "content"), registry)
+    sym = keep("symbols", extract.symbols_of(files.select("language", "pkg_root", "rel_path", "content"), registry))
     broken = sym.filter("sym.error is not null").select(F.col("language").alias("bl"), F.col("pkg_root").alias("bp")).distinct()
     sym = sym.join(broken, (F.col("language") == F.col("bl")) & (F.col("pkg_root") == F.col("bp")), "left_anti")
     # of a Go directory's packages the first by name that isn't a test's
@@ -110,16 +113,20 @@ class State:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.folder, name))
 
-    def write(self, meta: dict, index: dict | None, **tables: DataFrame) -> None:
-        """All at once: to a folder beside, which then takes the old one's place."""
-        new = f"{self.folder}.{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(os.path.join(new, name))
-        if index is not None:
-            with open(os.path.join(new, "index.json"), "w") as f:
-                json.dump(index, f)
-        with open(os.path.join(new, "meta.json"), "w") as f:
-            json.dump({"version": VERSION, **meta}, f)
+    def begin(self) -> str:
+        """A folder beside, which takes the old one's place at `commit`."""
+        return f"{self.folder}.{uuid.uuid4().hex}"
+
+    def put(self, new: str, name: str, df: DataFrame) -> DataFrame:
+        path = os.path.join(new, name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def commit(self, new: str, meta: dict, index: dict | None) -> None:
+        for name, value in (("index.json", index), ("meta.json", {"version": VERSION, **meta})):
+            if value is not None:
+                with open(os.path.join(new, name), "w") as f:
+                    json.dump(value, f)
         old = f"{new}.old"
         if os.path.exists(self.folder):
             os.rename(self.folder, old)
@@ -137,6 +144,8 @@ class Engine:
     # scan
 
     def _scan(self) -> tuple[DataFrame, DataFrame]:
+        if not os.path.isdir(self.root):
+            raise FileNotFoundError(self.root)
         rows = tree.scan(self.spark, self.root, self.languages)
         return rows, tree.files_of(rows, self.languages).drop("content")
 
@@ -145,7 +154,8 @@ class Engine:
         return self.spark.createDataFrame([(n,) for n in own], "rel_path string")
 
     def _entries(self, rows: DataFrame) -> DataFrame:
-        return state.missing_from(rows.filter("kind = 'root_entry'").select("rel_path"), self._own_names(), "rel_path")
+        entries = rows.filter("kind = 'root_entry'").select("rel_path")
+        return state.missing_from(entries.filter(~F.col("rel_path").startswith(self.o.state + ".")), self._own_names(), "rel_path")
 
     def _dirs(self, rows: DataFrame) -> DataFrame:
         return rows.filter("kind = 'dir'").select("rel_path", "mtime_ns")
@@ -174,7 +184,7 @@ class Engine:
                 out["files"][rel] = [size, mtime]
             elif kind == "dir":
                 out["dirs"][rel] = mtime
-            elif kind == "root_entry" and rel not in own:
+            elif kind == "root_entry" and rel not in own and not rel.startswith(self.o.state + "."):
                 out["entries"][rel] = True
         return out
 
@@ -214,30 +224,37 @@ class Engine:
     def generate(self) -> Snapshot:
         """Scans, analyses what has changed, writes outputs and state."""
         rows, files = self._scan()
-        files = self.hashed(files).persist()
+        new = self.state.begin()
         try:
+            files = self.state.put(new, "files", self.hashed(files))
             content_hash = self._aggregate(files)
-            snap, cache, meta = self._analysed(rows, files, content_hash)
+            cache, meta = self._analysed(rows, files, lambda name, df: self.state.put(f"{new}.work", name, df))
+            cache = self.state.put(new, "packages", cache)
+            found = packages.concerns(files, self.o.concerns, self.o.concern_examples)
             made = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
-            ordered = packages.sorted_packages(snap.packages)
+            ordered = packages.sorted_packages(cache)
             outs = [(MarkdownRenderer(), self.o.output)] + ([] if self.o.disable_paths else [(PathsRenderer(), self.o.paths_output)])
             for renderer, name in outs:
                 with open(os.path.join(self.root, name), "w", encoding="utf-8") as f:
-                    f.write(renderer.render(ordered, snap.concerns, content_hash, made))
+                    f.write(renderer.render(ordered, found, content_hash, made))
             rows = self._scan()[0]  # times of directories after the outputs were written
+            self.state.put(new, "dirs", self._dirs(rows))
+            self.state.put(new, "root_entries", self._entries(rows))
             n_files = files.count()
             index = self._index(tree.walk(self.root, self.languages)) if n_files <= LOCAL_FILES else None
-            self.state.write({"aggregate_hash": content_hash, "n_files": n_files, **meta}, index, files=files.drop("abs_path"), dirs=self._dirs(rows), root_entries=self._entries(rows), packages=cache)
-            return Snapshot(self.state.table("packages").drop("fingerprint"), snap.concerns, content_hash)
+            self.state.commit(new, {"aggregate_hash": content_hash, "n_files": n_files, **meta}, index)
         finally:
-            files.unpersist()
+            shutil.rmtree(new, ignore_errors=True)
+            shutil.rmtree(f"{new}.work", ignore_errors=True)
+        saved = self.state.table("files")
+        return Snapshot(self.state.table("packages").drop("fingerprint"), packages.concerns(saved, self.o.concerns, self.o.concern_examples), content_hash)
 
-    def _analysed(self, rows: DataFrame, files: DataFrame, content_hash: str):
-        found = manifests.manifests(rows)
+    def _analysed(self, rows: DataFrame, files: DataFrame, keep) -> tuple[DataFrame, dict]:
+        found = keep("manifests", manifests.manifests(rows))
         lang = F.col("language")
         ours = files if self.o.include_tests else files.filter(~classify.is_test_path(F.col("rel_path"), lang))
-        rooted = with_roots(ours, found)
-        plan = packages.plans(rooted)
+        rooted = keep("rooted", with_roots(ours, found))
+        plan = keep("plans", packages.plans(rooted))
         meta = {"include_tests": self.o.include_tests, "large": self.o.large_package, "languages": self.languages, "manifests": self._manifest_key(found)}
         saved = self.state.meta()
         if saved and all(saved.get(k) == v for k, v in meta.items()):
@@ -248,11 +265,10 @@ class Engine:
         else:
             reused, todo = self.spark.createDataFrame([], PACKAGE), plan
         work = rooted.join(todo.select(F.col("language").alias("tl"), F.col("pkg_root").alias("tp")), (lang == F.col("tl")) & (F.col("pkg_root") == F.col("tp")), "left_semi")
-        fresh = analyse(tree.read_contents(work), found, os.path.basename(self.root), self.o.large_package, self.registry)
+        fresh = analyse(tree.read_contents(work), found, os.path.basename(self.root), self.o.large_package, self.registry, keep)
         prints = plan.select(F.col("language").alias("pl"), F.col("pkg_root").alias("pp"), "fingerprint")
         fresh = fresh.join(prints, (F.col("language") == F.col("pl")) & (F.col("relative_path") == F.col("pp"))).drop("pl", "pp")
-        every = reused.unionByName(fresh)
-        return Snapshot(every.drop("fingerprint"), packages.concerns(files, self.o.concerns, self.o.concern_examples), content_hash), every, meta
+        return reused.unionByName(fresh), meta
 
     @staticmethod
     def _manifest_key(found: DataFrame) -> str:

@@ -28,7 +28,7 @@ def table_rows(packages: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame) -> list[str]:
-    return [r["line"] for r in df.toLocalIterator()]
+    return [r["line"] for r in df.collect()]
 
 
 class PathsRenderer:

@@ -94,3 +94,21 @@ def test_benchmark_files(spark, tmp_path):
     (tmp_path / "raw.txt").write_text("goos: linux\nBenchXStale-8 \t 400\t 3 ns/op\t 4 B/op\t5 allocs/op\nBenchXStale-8 bad 1 ns/op\nBenchXStale-16 7 8.5 ns/op\nns/op BenchX\nBenchXNone-8 5\n")
     got = [tuple(r) for r in benchmarks.parse(benchmark_files.raw_lines(spark, str(tmp_path / "raw.txt"), "s"), "BenchX").orderBy("line_no").collect()]
     assert got == [(1, "s", "BenchXStale", "400", "3", "4", "5", 1), (3, "s", "BenchXStale", "7", "8.5", "0", "0", 3)]
+
+
+def test_collected_reports(spark, tmp_path, capsys):
+    from terrafold.__main__ import main
+
+    day = "2026-01-02T03:04:05Z"
+    jsonl(tmp_path / "a/s.jsonl", [{"type": "session_meta", "payload": {"id": "s1", "cwd": "/r/app"}}, call(day, "exec_command", json.dumps({"cmd": "cat ATLAS.md"})), call(day, "apply_patch", "{}")])
+    jsonl(tmp_path / "b/-r-app/k.jsonl", [{"timestamp": day, "message": {"content": [{"type": "tool_use", "id": "1", "name": "Edit", "input": {}}]}}])
+    (tmp_path / "o.csv").write_text("source,session_id,success\na,s1,1\n")
+    (tmp_path / "repos.txt").write_text("# ours\n/r/app\n/r/other\n")
+    where = ["--logs-a", str(tmp_path / "a"), "--logs-b", str(tmp_path / "b")]
+    assert main(["sessions", "--repo", "/r/app", *where, "--outcomes", str(tmp_path / "o.csv")], spark) == 0
+    text = capsys.readouterr().out
+    assert "[a]" in text and "[all]\nsessions: 2" in text and "success rate touching: 100" in text
+    assert main(["collect", "--repos", str(tmp_path / "repos.txt"), "--out", str(tmp_path / "out"), *where], spark) == 0
+    run = json.loads((tmp_path / "out/latest-run.json").read_text())
+    assert (run["ok"], run["failed"], [r["file"] for r in run["runs"]]) == (2, 0, ["app.json", "other.json"])
+    assert {m.get("source") for m in json.loads((tmp_path / "out/app.json").read_text())["metrics"]} == {"a", "b", None}
