@@ -9,6 +9,8 @@ The traversal is vectorised: texts are laid in rows of `CHUNK` symbols, and all
 depends on the last ORDER - 1 symbols only, so a row begins with those that precede it and ends up in the very state.
 The model's size is bounded by the number of classes and the order, not by the corpus; up to `DENSE_BYTES` a task
 follows the failure arcs once for each state and symbol and keeps the result as a table, beyond that at each step.
+
+Beside it, `wordlm` counts all pairs of words and scores the words of each document; that model grows with the corpus.
 """
 
 import os
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm import tok
+from terrafold.llm import tok, wordlm
 from terrafold.llm.base import clean_spark_dir, shared_dir, small_batches
 
 ORDER = 5
@@ -226,7 +228,7 @@ def score(model: Automaton, step, part: pa.Array) -> tuple[np.ndarray, np.ndarra
     return total, counts
 
 
-def _scored(batches, load):
+def _scored(batches, load, words: wordlm.Model):
     model = load()
     step = model.stepper()
     for batch in batches:
@@ -235,9 +237,15 @@ def _scored(batches, load):
             total, counts = score(model, step, part)
             none = ~valid
             bits = np.where(counts > 0, -total / np.maximum(counts, 1), 0)
+            by_words, n_words = wordlm.score(words, part)
+            word_bits = np.where(n_words > 0, -by_words / np.maximum(n_words, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(part)), pa.array(counts, mask=none), pa.array(total, mask=none), pa.array(bits, mask=none | (counts == 0))], ["doc_id", "n_symbols", "log2_prob", "bits_per_symbol"]
-            )
+                [
+                    batch.column(0).slice(at, len(part)), pa.array(counts, mask=none), pa.array(total, mask=none), pa.array(bits, mask=none | (counts == 0)),
+                    pa.array(n_words, mask=none), pa.array(by_words, mask=none), pa.array(word_bits, mask=none | (n_words == 0)),
+                ],
+                ["doc_id", "n_symbols", "log2_prob", "bits_per_symbol", "n_words", "word_log2_prob", "bits_per_word"],
+            )
 
 
 def ngrams(docs: DataFrame) -> DataFrame:
@@ -253,13 +261,15 @@ def train(docs: DataFrame) -> Automaton:
 
 
 def score_documents(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_symbols, log2_prob, bits_per_symbol) for every row, by the model of `corpus`, or of docs themselves.
+    """(doc_id, n_symbols, log2_prob, bits_per_symbol, n_words, word_log2_prob, bits_per_word) for every row, by the models of `corpus`, or of docs themselves.
 
     Every text counts once for each row it stands in. A null text has null scores and isn't counted; an empty one has
-    0 symbols, log2_prob 0 and null bits. A null doc_id and repeated rows are kept as they are. Texts are scored whole. Further
-    columns, whatever their names, are left out. With an empty corpus all symbols are equally likely.
+    0 symbols and words, log2_prob 0 and null bits, and so has a text without words in what is of words. A null doc_id and repeated rows are kept as they are. Texts are scored whole. Further
+    columns, whatever their names, are left out. With an empty corpus all symbols are equally likely,
+    and any word is certain to be an unknown one.
     """
     model = train(docs if corpus is None else corpus)
+    words = wordlm.train(docs if corpus is None else corpus)
     if model.nbytes() <= BROADCAST_BYTES:
         load = lambda: model
     else:
@@ -277,4 +287,4 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None) -> DataFra
                 setattr(m, k, np.load(os.path.join(folder, f"{k}.npy"), mmap_mode="r"))
             return m
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scored(it, load), "doc_id bigint, n_symbols bigint, log2_prob double, bits_per_symbol double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scored(it, load, words), "doc_id bigint, n_symbols bigint, log2_prob double, bits_per_symbol double, n_words bigint, word_log2_prob double, bits_per_word double")
