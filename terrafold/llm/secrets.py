@@ -1,12 +1,13 @@
 """Operator 3: scan for secrets, with a random forest that removes false positives.
 
-Candidates are runs of 12 characters or more of letters, digits and `+/_=-` that hold a digit or are 20 long. Features
+Candidates are runs of 12 characters or more of letters, digits and `+/_-` with what `=` pads base64 behind them, and
+whatever stands behind a key word: a value in quotes, of any characters, or one up to a blank, both of any length. Features
 are the length, shares of character kinds, transitions between characters (how often the kind changes, and the mean
 log-probability of the letter pairs, learned from the vocabulary's words), the share covered by words of a dictionary
 (words of 4 letters or more of the vocabulary), the path, and the neighbouring words. The forest is trained on
 labelled findings, at most `FINDINGS` rows of (before, value, after, path, secret). The tables of this project have no
-labelled findings, so unless others are given, `labelled_findings` makes them: keys of usual kinds in usual places against
-identifiers, numbers, checksums, commit ids, placeholders and long words.
+labelled findings, so unless others are given, `labelled_findings` makes lines and takes their candidates: keys and passwords of
+usual kinds in usual places against identifiers, numbers, checksums, commit ids, placeholders and words.
 """
 
 import base64
@@ -29,7 +30,11 @@ TREES = 40
 DEPTH = 10
 NEAR = 40
 CUTOFF = 0.5
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
+_PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=\-])")
+_VALUE = r"""(?:(?P<quote>["'`])(?P<inside>[^\n]*?)(?P=quote)|(?P<bare>(?:(?!&[\w.\-]+=)[^\s"'`])+))"""
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw|passphrase|pwd|credential|bearer|auth|key|signature)[\w.\-]{0,100}+["'`\]]{0,2}[ \t]*(?:=>|:=|==?|:)[ \t]*(?:(?:bearer|basic|token)[ \t]+)?""" + _VALUE)
+_BEHIND = re.compile(r"(?i)(?<![a-z])(?:tokens?|secret|password|passwd|passphrase|pwd|credentials?|bearer|auth|(?:(?:api|access|private|client)[_ \-]?)?key|signature)[ \t]+(?:is[ \t]+)?" + _VALUE)
 _KEYISH = re.compile(r"(?i)(token|secret|passw|pwd|credential|bearer|auth|api_?key|access_?key|private_?key|\bkey\b|signature)")
 _HASHISH = re.compile(r"(?i)(commit|sha-?\d*|md5|checksum|digest|revision|uuid|\bid\b|hash|etag|build)")
 _FAKE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your|fake|test|xxx|redacted|insert)")
@@ -41,6 +46,39 @@ FEATURES = (
 )
 
 
+def _values(text: str, pattern: re.Pattern):
+    """(start, end) of what stands behind key words, also of key words inside of such values."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, z = m.span("inside" if m["bare"] is None else "bare")
+        at = max(a, m.start() + 1)
+        if m["bare"] is not None:
+            z = a + len(text[a:z].rstrip(",;" if pattern is _ASSIGNED else ".,;:)]}>"))
+        if z > a:
+            yield a, z
+
+
+def candidates(text: str):
+    """(start, value, text before, text after), by start; a part of a value without blanks is none of its own unless it is a value itself."""
+    spans = {*_values(text, _ASSIGNED), *_values(text, _BEHIND)}
+    solid, far = [], 0
+    for a, z in sorted(spans):
+        if z > far and not re.search(r"\s", text[a:z]):
+            solid.append((a, z))
+            far = z
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        a, z = m.span()
+        if (p := _PADDING.match(text, z)) and (p.end() - a) % 4 == 0:
+            z = p.end()
+        while k < len(solid) and solid[k][1] <= a:
+            k += 1
+        if k == len(solid) or not solid[k][0] <= a < z <= solid[k][1]:
+            spans.add((a, z))
+    for a, z in sorted(spans):
+        yield a, text[a:z], text[max(0, a - NEAR) : a], text[z : z + NEAR]
+
+
 def dictionary(path: str) -> frozenset[str]:
     out = set()
     with open(path, "rb") as f:
@@ -86,7 +124,7 @@ def features(before: str, value: str, after: str, path: str | None, words: froze
     lp = [pairs.get(low[i : i + 2], -6.0) for i in range(n - 1)]
     tail = before.rstrip(" \t\"'`")
     return [
-        min(n, 200), kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n, change / (n - 1), sum(lp) / len(lp), len(set(value)) / min(n, 64), longest / n,
+        min(n, 200), kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n, change / max(n - 1, 1), sum(lp) / max(len(lp), 1), len(set(value)) / min(n, 64), longest / n,
         covered(value[:400], words), float(all(c in "0123456789abcdefABCDEF" for c in value)), float(bool(_FAKE.search(value))),
         float(bool(_TESTISH.search(path or ""))), float(bool(_KEYISH.search(before[-16:]))), float(bool(_KEYISH.search(before + " " + after))), float(bool(_HASHISH.search(before[-24:]))),
         float(bool(_FAKE.search(before + " " + after))), float(tail[-1:] in ("=", ":")), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""),
@@ -94,7 +132,7 @@ def features(before: str, value: str, after: str, path: str | None, words: froze
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY) -> list[tuple[str, str, str, str, bool]]:
-    """n made findings (before, value, after, path, secret), the same for the same arguments."""
+    """n findings (before, value, after, path, secret) of made lines, the same for the same arguments: all candidates that the scan has there."""
     r = random.Random(seed)
     words = sorted(dictionary(path))
     b64, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
@@ -119,39 +157,55 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
             (lambda: pick(hexa, r.choice((32, 40, 40, 64))), lambda: pick(hexa, 40).upper(), lambda: "AKIA" + pick(b64[:26] + "234567", 16), lambda: "ghp_" + pick(b64[:62], 36), lambda: pick(b64, r.choice((24, 40, 44, 64))), lambda: "sk_live_" + pick(b64[:62], 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(b64[:62], 24))
         )()
 
+    def password() -> str:
+        return r.choice((lambda: pick(b64[:62] + "!@#$%^*?.-_+~", r.randint(7, 16)), lambda: pick(b64[:62], r.randint(8, 16)), lambda: pick(b64[:52], r.randint(10, 19)), lambda: base64.b64encode(r.randbytes(r.choice((16, 20, 32)))).decode()))()
+
     def harmless() -> str:
         return r.choice(
             (
                 lambda: invented(r.randint(12, 28)), lambda: invented(r.randint(12, 28)).upper(), lambda: pick("0123456789", r.randint(12, 20)), lambda: "_".join(r.choice(nice) for _ in range(3)) + str(r.randint(1, 99)),
                 lambda: "".join(r.choice(nice).title() for _ in range(3)) + str(r.randint(1, 9)), lambda: "/".join(r.choice(nice) for _ in range(4)) + "-" + str(r.randint(1, 2024)), lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}",
                 lambda: r.choice(("your_api_key_here_123", "XXXXXXXXXXXXXXXXXXXX1", "0000000000000000000000", "changeme_changeme_1", "abcdef1234567890abcdef1234567890", "1234567890123456")), lambda: "-".join(r.choice(nice) for _ in range(4)) + str(r.randint(0, 9)),
-                lambda: "=" * r.randint(12, 40), lambda: "-" * r.randint(20, 60), lambda: invented(6) + str(r.randint(10000, 99999)) + invented(6),
+                lambda: "-" * r.randint(20, 60), lambda: invented(6) + str(r.randint(10000, 99999)) + invented(6),
             )
         )()
 
     key = ("token", "TOKEN", "api_key", "secret", "password", "access_key", "auth token", "client_secret", "Authorization: Bearer", "private_key", "key")
     out = []
-    for k in range(n):
+
+    def line(before: str, value: str, after: str, where: str, is_secret: bool) -> None:
+        for start, v, near, behind in candidates(before + value + after):
+            mine = start < len(before) + len(value) and start + len(v) > len(before)
+            if not is_secret or not mine or (start, v) == (len(before), value):
+                out.append((near, v, behind, where, is_secret and mine))
+
+    k = 0
+    while len(out) < n:
+        k += 1
         head, end, where = prose(4), " " + prose(4), r.choice(("src/app/config.py", "src3", "web/page.html", "ops/deploy.env", "src12", "notes.md"))
         if k % 2:
             name = r.choice(key)
-            form = r.choice((f'{name} = "', f"{name}: ", f"{name}=", f"{name}='", f'{name} = "', f'"{name}": "', f"{name} "))
+            form = r.choice((f'{name} = "', f"{name}: ", f"{name}=", f"{name}='", f'{name} = "', f'"{name}": "', f"{name} ", f"{r.choice(nice)}_{name}=", f"?{r.choice(nice)}={r.choice(nice)}&{name}="))
             close = form[-1] if form[-1] in "\"'" else ""
-            out.append((f"{head} {form}", secret(), close + end, where, True))
-        elif (kind := r.random()) < 0.55:
+            value = password() if form[-1] != " " and r.random() < 0.4 else secret()
+            line(f"{head} {form}", value, close + (f"&{r.choice(nice)}=1" if "&" in form else "") + end, where, True)
+        elif (kind := r.random()) < 0.4:
             q = r.choice(("", "", "", '"'))
-            form = r.choice((" ", " ", " ", f" {r.choice(nice)} = ", f" {r.choice(nice)}: ", " token of ", " key "))
-            out.append((head + form + q, harmless(), q + end, where, False))
+            form = r.choice((" ", " ", " ", f" {r.choice(nice)} = ", f" {r.choice(nice)}: ", f" {r.choice(nice)}=", " token of ", " key "))
+            line(head + form + q, harmless(), q + end, where, False)
+        elif kind < 0.55:
+            name, q = r.choice(key), r.choice(("", '"'))
+            idle = r.choice((lambda: r.choice(nice), lambda: invented(r.randint(2, 11)), lambda: prose(r.randint(2, 6)), lambda: str(r.randint(0, 9999)), lambda: r.choice(("None", "null", "true", "false", "changeme", "your_password", "<password>", "${TOKEN}", "$SECRET", "xxxxxxxx", "********", "os.environ", "getpass()"))))()
+            line(f"{head} {name}{r.choice((' = ', ': ', '=', ' '))}{q}", idle, q + end, where, False)
         elif kind < 0.75:
-            out.append((f"{head} {r.choice(('commit', 'sha256:', 'checksum', 'md5', 'revision', 'build id', 'digest =', 'etag:'))} ", pick(hexa, r.choice((32, 40, 64))), end, where, False))
+            line(f"{head} {r.choice(('commit', 'sha256:', 'checksum', 'md5', 'revision', 'build id', 'digest =', 'etag:'))} ", pick(hexa, r.choice((32, 40, 64))), end, where, False)
         elif kind < 0.85:
-            name = r.choice(key)
-            out.append((f'{head} {name} = "', harmless(), '"' + end, where, False))
+            line(f'{head} {r.choice(key)} = "', harmless(), '"' + end, where, False)
         else:
             q = '"'
             fake = r.choice((f"{head} example {r.choice(key)} = {q}", f"{head} dummy {r.choice(key)} = {q}"))
-            out.append((fake, secret(), q + end, r.choice(("tests/fixtures/keys.py", "docs/examples/auth.md", "examples/a.py")), False))
-    return out
+            line(fake, secret(), q + end, r.choice(("tests/fixtures/keys.py", "docs/examples/auth.md", "examples/a.py")), False)
+    return out[:n]
 
 
 class Forest:
@@ -217,17 +271,11 @@ class Scanner:
         x = np.array([features(*r[:4], self.words, self.pairs) for r in rows])
         self.forest = Forest(x, np.array([bool(r[4]) for r in rows]))
 
-    def candidates(self, text: str):
-        for m in CANDIDATE.finditer(text):
-            v = m.group()
-            if len(v) >= 20 or any(c.isdigit() for c in v):
-                yield m.start(), v, text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
-
     def scan(self, texts: list[str | None], paths: list[str | None]):
         """(row, start, value, score) of every candidate."""
         found, x = [], []
         for k, (text, path) in enumerate(zip(texts, paths)):
-            for start, value, before, after in self.candidates(text or ""):
+            for start, value, before, after in candidates(text or ""):
                 found.append((k, start, value))
                 x.append(features(before, value, after, path, self.words, self.pairs))
         score = self.forest.predict(np.array(x)) if x else np.zeros(0)
@@ -242,7 +290,7 @@ def _scanned(batches, scanner: Scanner, cutoff: float):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(rows), pa.array([h[1] for h in hit], pa.int64()), pa.array([len(h[2]) for h in hit], pa.int64()),
-                pa.array([h[2][:4] + "..." for h in hit], pa.string()), pa.array([hashlib.sha256(h[2].encode()).hexdigest() for h in hit], pa.string()), pa.array([h[3] for h in hit], pa.float64()),
+                pa.array([h[2][: min(4, len(h[2]) // 3)] + "..." for h in hit], pa.string()), pa.array([hashlib.sha256(h[2].encode()).hexdigest() for h in hit], pa.string()), pa.array([h[3] for h in hit], pa.float64()),
             ],
             ["doc_id", "start", "length", "shown", "sha256", "score"],
         )
@@ -251,7 +299,7 @@ def _scanned(batches, scanner: Scanner, cutoff: float):
 def find_secrets(docs: DataFrame, findings=None, path: str = VOCABULARY, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, start, length, shown, sha256, score): the candidates that the forest takes for secrets.
 
-    start counts characters from 0; shown has the first four, sha256 stands for the value. `docs` has doc_id, text and
+    start counts characters from 0; shown has the first four, of short values the first third, sha256 stands for the value. `docs` has doc_id, text and
     source, which is the path. Null and empty texts have no findings, a null source no path; a null doc_id and repeated rows give findings of
     their own. Texts are scanned whole. Further columns are left out.
     """
