@@ -125,7 +125,7 @@ def features(before: str, value: str, after: str, path: str | None, words: froze
     tail = before.rstrip(" \t\"'`")
     return [
         min(n, 200), kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n, change / max(n - 1, 1), sum(lp) / max(len(lp), 1), len(set(value)) / min(n, 64), longest / n,
-        covered(value[:400], words), float(all(c in "0123456789abcdefABCDEF" for c in value)), float(bool(_FAKE.search(value))),
+        covered(value, words), float(all(c in "0123456789abcdefABCDEF" for c in value)), float(bool(_FAKE.search(value))),
         float(bool(_TESTISH.search(path or ""))), float(bool(_KEYISH.search(before[-16:]))), float(bool(_KEYISH.search(before + " " + after))), float(bool(_HASHISH.search(before[-24:]))),
         float(bool(_FAKE.search(before + " " + after))), float(tail[-1:] in ("=", ":")), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""),
     ]

@@ -30,6 +30,12 @@ def test_long_runs_end():
     assert len(list(secrets.candidates("key" * 20_000))) == 1 and len(list(secrets.candidates("token=" * 500))) > 1
 
 
+def test_dictionary_covers_the_whole_value():
+    value = "9" * 400 + "river" * 320
+    row = secrets.features("", value, "", None, frozenset(["river"]), {})
+    assert row[secrets.FEATURES.index("dictionary")] == 0.8
+
+
 def test_found_unquoted(spark):
     lines = [f"export DEPLOY_TOKEN={HEX}", f"GET /v1/list?user=me&access_key={HEX}&page=2", "db_password=vK8$wq!Zr2", "db_password=house", "max_tokens=4096 and nothing else"]
     df = spark.createDataFrame([(k, t, "ops/deploy.env") for k, t in enumerate(lines)], "doc_id bigint, text string, source string")
