@@ -113,10 +113,15 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows)], ["word", "lid", "toxic"])
 
 
+def _taken(labels: DataFrame, train_rows: int) -> DataFrame:
+    """The labelled ids of which the lexicon is learned: (lid, toxic)."""
+    return _labelled(labels).filter("train").orderBy("order", "lid").limit(train_rows).select("lid", F.col("vile").alias("toxic"))
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Sorted hashes of words that tell toxic documents: chosen one after another, each for the most toxic documents that no earlier one is in, at 95 % precision or more."""
     spark = docs.sparkSession
-    chosen = _labelled(labels).filter("train").orderBy("order", "lid").limit(train_rows).select("lid", F.col("vile").alias("toxic")).toArrow()
+    chosen = _taken(labels, train_rows).toArrow()
     sample = spark.createDataFrame(chosen.to_pandas(), "lid bigint, toxic boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("lid")).select("text", "lid", "toxic")
     words = cut(texts.mapInArrow(_word_rows, "word bigint, lid bigint, toxic boolean"))
@@ -151,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float =
     small_batches(docs.sparkSession)
     lexicon = learn_lexicon(docs, labels, train_rows)
     scored = cut(docs.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(lambda it: _scored(it, lexicon), _schema(docs)))
-    known = scored.join(_labelled(labels).filter(~F.col("train")), F.col("doc_id") == F.col("lid"))
+    # order is a hash, so the same ids are taken each time
+    held = _labelled(labels).join(F.broadcast(_taken(labels, train_rows).select("lid")), "lid", "left_anti")
+    known = scored.join(held, F.col("doc_id") == F.col("lid"))
     good = F.col("fine") & ~F.col("vile")
     above = [F.greatest(*[F.col(r) > c for r, c in zip(RULES, step)]) for step in PATH]
     sums = [F.count_if(good & a).alias(f"g{k}") for k, a in enumerate(above)] + [F.count_if(~good & a).alias(f"b{k}") for k, a in enumerate(above)]
