@@ -4,15 +4,18 @@ Anchors bring equal passages into one shard: of each window of MIN_WORDS words t
 `ANCHOR` words is one, so every passage long enough has the same anchors wherever it stands. A window around its
 anchor holds the `HALF` words up to the anchor's end or the HALF from its start; anchors of which neither stands
 twice are in no repeated window and go. For the others the words that such windows can reach, the neighbourhoods,
-are collected by anchor, equal ones once; if all of an anchor's are equal, they are copies. Else a shard's neighbourhoods make one text, whose suffix array and common-prefix
-lengths are computed by external induced sorting (`induced`); suffixes that share MIN_WORDS words or more with a
-neighbour there begin repeated windows. Their unions, put back into the documents, are the passages.
+are collected by anchor, equal ones once; if all of an anchor's are equal, they are copies. Else a shard's
+neighbourhoods make one text, whose suffix array and common-prefix lengths are computed by external induced sorting
+(`induced`); suffixes that share MIN_WORDS words or more with a neighbour there begin repeated windows. Their unions,
+put back into the documents, are the passages. A shard is streamed to files and stays there: what a task holds in
+core is bound by `memory`, however often a passage, and so its anchor, occurs.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ ANCHOR = 8
 HALF = (MIN_WORDS + 1) // 2
 #: Words of a shard on average; one with a very frequent anchor can be far larger.
 SHARD_WORDS = 1 << 19
+_NUMBERS = ("anchor", "nb", "off", "often", "low_doc", "high_doc")
 REACH = MIN_WORDS - ANCHOR  # words before and after an anchor that a window may have
 
 
@@ -115,61 +119,134 @@ def _neighbourhoods(batches):
             yield pa.RecordBatch.from_arrays([*[pa.array(number[k], pa.int64()) for k in names], lists], [*names, "words"])
 
 
-def repeats(sizes: np.ndarray, words: np.ndarray, anchor: np.ndarray, off: np.ndarray, low_doc: np.ndarray, high_doc: np.ndarray, often: np.ndarray, block: int, memory: int, folder: str | None):
-    """(neighbourhood, first, end, lowest and highest doc_id) of stretches that stand more than once in a shard's neighbourhoods.
+def _columns(batches, s: induced.Scratch):
+    """A shard as it arrives: its columns and words, in files beyond a block."""
+    out = {k: induced.Growing(s) for k in ("size", *_NUMBERS)}
+    words = induced.Growing(s)
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("words"))
+        for a in range(0, len(lists), 1024):
+            part = lists.slice(a, 1024)
+            out["size"].add(pc.list_value_length(part).to_numpy())
+            words.add(part.flatten().to_numpy())
+            for k in _NUMBERS:
+                out[k].add(batch.column(batch.schema.get_field_index(k)).slice(a, 1024).to_numpy())
+    return {k: v.done() for k, v in out.items()}, words.done()
+
+
+def repeats(t: dict[str, np.ndarray], words: np.ndarray, block: int, s: induced.Scratch):
+    """(neighbourhood, first, end, lowest and highest doc_id), by blocks, of stretches that stand more than once in a shard's neighbourhoods.
 
     A place of a document can be in several neighbourhoods, of other anchors or, in text that repeats itself, of the
     same; it must not count as its own copy. So a symbol is a word with its anchor and its distance from it: only
     what is aligned by a common anchor compares as equal, and two aligned occurrences are two places.
     """
-    starts = np.cumsum(sizes) - sizes
-    m = len(sizes)
-    distance = np.arange(len(words)) - np.repeat(starts + off, sizes)
-    words = tok.mix(words + tok.mix(np.repeat(tok.mix(anchor.view(np.uint64)), sizes) + distance.astype(np.uint64)))
-    _, rank = np.unique(words, return_inverse=True)
-    text = np.empty(len(words) + m, np.int64)
-    where = np.arange(len(words)) + np.repeat(np.arange(m), sizes)
-    text[where] = rank + m
-    text[np.cumsum(sizes + 1) - 1] = np.append(np.arange(1, m), 0)  # each neighbourhood ends with a symbol of its own
-    sa, lcp = induced.suffix_array(text, block, memory, folder)
-    near = np.append(lcp >= MIN_WORDS, False)
-    member = near[:-1] | near[1:]
-    pos, group = sa[member], np.cumsum(~near[:-1])[member]
-    begin = starts + np.arange(m)
-    own = np.searchsorted(begin, pos, "right") - 1
-    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(heads, len(group)))
-    lo = np.repeat(np.minimum.reduceat(low_doc[own], heads), size) if len(heads) else np.zeros(0, np.int64)
-    hi = np.repeat(np.maximum.reduceat(high_doc[own], heads), size) if len(heads) else np.zeros(0, np.int64)
-    a = pos - begin[own]
-    whole = np.flatnonzero((often > 1) & (sizes >= MIN_WORDS))
-    nb = np.concatenate([own, whole])
-    a, z = np.concatenate([a, np.zeros(len(whole), np.int64)]), np.concatenate([a + MIN_WORDS, sizes[whole]])
-    lo, hi = np.concatenate([lo, low_doc[whole]]), np.concatenate([hi, high_doc[whole]])
-    order = np.lexsort((a, nb))
-    nb, a, z, lo, hi = nb[order], a[order], z[order], lo[order], hi[order]
-    if not len(nb):
-        return nb, a, z, lo, hi
-    far = np.maximum.accumulate(nb * 1_000_000 + z)
-    new = np.append(True, (nb[1:] != nb[:-1]) | (nb[1:] * 1_000_000 + a[1:] > far[:-1]))
-    heads = np.flatnonzero(new)
-    return nb[heads], a[heads], np.maximum.reduceat(z, heads), np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads)
+    every = len(t["size"])
+    # rows that repeat a doc_id and its text give a neighbourhood more than once
+    fresh, at = s.array(every, bool), s.array(every)
+    for a, z in s.blocks(every):
+        at[a:z] = np.arange(a, z)
+    before = None
+    for nb, i, _ in induced.in_order(s.copy(t["nb"]), at, s):
+        fresh[i] = np.append(before is None or nb[0] != before, nb[1:] != nb[:-1])
+        before = nb[-1]
+    # a row's words end, and in the text each row that counts ends with a symbol of its own
+    ends, begin, row = s.array(every), s.array(every), 0
+    total = end = 0
+    for a, z in s.blocks(every):
+        sizes, f = t["size"][a:z], fresh[a:z]
+        ends[a:z] = end + np.cumsum(sizes)
+        taken = np.where(f, sizes + 1, 0)
+        begin[a:z] = total + np.cumsum(taken) - taken
+        end, total, row = int(ends[z - 1]), total + int(taken.sum()), row + int(f.sum())
+
+    def rows():
+        """Runs of rows of about a block of words."""
+        a = 0
+        while a < every:
+            limit = (int(ends[a - 1]) if a else 0) + s.block
+            z = every if s.root is None else max(a + 1, int(np.searchsorted(ends, limit, "right")))
+            yield a, z
+            a = z
+
+    text, key, where = s.array(total, np.int32 if total < 2**31 else np.int64), s.array(total - row), s.array(total - row)
+    n = k = 0
+    for a, z in rows():
+        f, sizes = np.flatnonzero(fresh[a:z]) + a, t["size"][a:z]
+        own, first = np.repeat(np.arange(a, z), sizes), np.repeat(ends[a:z] - sizes, sizes)
+        word = np.arange(int(ends[a - 1]) if a else 0, int(ends[z - 1]))
+        stay = fresh[own]
+        own, distance = own[stay], (word - first)[stay]
+        h = tok.mix(t["anchor"][own].view(np.uint64)) + (distance - t["off"][own]).astype(np.uint64)
+        key[n : n + len(own)] = tok.mix(words[word[stay]].view(np.uint64) + tok.mix(h)).view(np.int64)
+        where[n : n + len(own)] = begin[own] + distance
+        text[begin[f] + t["size"][f]] = np.arange(k + 1, k + len(f) + 1)
+        n, k = n + len(own), k + len(f)
+    text[total - 1] = 0
+    before, rank = None, k - 1
+    for h, i, _ in induced.in_order(key, where, s):
+        new = np.append(before is None or h[0] != before, h[1:] != h[:-1])
+        text[i] = rank + np.cumsum(new)
+        rank, before = rank + int(new.sum()), h[-1]
+    del key, where
+    sa, lcp = induced.sort(text, block, s)
+    # suffixes with a long common prefix, one after another, are a group; its documents go to the places of all
+    mark, low, high = s.array(total, bool), s.array(total), s.array(total)
+
+    def members():
+        group = -1
+        for a, z in s.blocks(total):
+            here = lcp[a:z] >= MIN_WORDS
+            behind = np.append(lcp[a + 1 : z + 1] >= MIN_WORDS, False)[: z - a]
+            g = group + np.cumsum(behind & ~here)
+            group = int(g[-1])
+            m = here | behind
+            yield sa[a:z][m], g[m]
+
+    groups = 1 + max((int(g[-1]) for _, g in members() if len(g)), default=-1)
+    g_low, g_high, counted = s.array(groups), s.array(groups), -1
+    for pos, g in members():
+        if not len(pos):
+            continue
+        own = np.searchsorted(begin, pos, "right") - 1
+        heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        lo, hi = np.minimum.reduceat(t["low_doc"][own], heads), np.maximum.reduceat(t["high_doc"][own], heads)
+        old = g[heads] <= counted
+        g_low[g[heads]] = np.where(old, np.minimum(lo, g_low[g[heads]]), lo)
+        g_high[g[heads]] = np.where(old, np.maximum(hi, g_high[g[heads]]), hi)
+        counted = int(g[-1])
+    for pos, g in members():
+        mark[pos], low[pos], high[pos] = True, g_low[g], g_high[g]
+    for a, z in rows():
+        f = np.flatnonzero(fresh[a:z]) + a
+        if not len(f):
+            continue
+        sizes = t["size"][f]
+        own = np.repeat(f, sizes)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        p = begin[own] + offset
+        whole = (t["often"][own] > 1) & (offset <= t["size"][own] - MIN_WORDS)
+        found, lo, hi = mark[p], low[p], high[p]
+        lo = np.where(whole, np.where(found, np.minimum(lo, t["low_doc"][own]), t["low_doc"][own]), lo)
+        hi = np.where(whole, np.where(found, np.maximum(hi, t["high_doc"][own]), t["high_doc"][own]), hi)
+        stay = found | whole
+        own, offset, lo, hi = own[stay], offset[stay], lo[stay], hi[stay]
+        if not len(own):
+            continue
+        new = np.append(True, (own[1:] != own[:-1]) | (offset[1:] > offset[:-1] + MIN_WORDS))
+        heads = np.flatnonzero(new)
+        lasts = np.append(heads[1:], len(own)) - 1
+        yield own[heads], offset[heads], offset[lasts] + MIN_WORDS, np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads)
 
 
 def _repeated(batches, block: int, memory: int, folder: str):
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
+    s = induced.Scratch(folder, memory)
+    t, words = _columns(batches, s)
+    if not len(words):
         return
-    t = pa.Table.from_batches(parts).combine_chunks()
-    # rows that repeat a doc_id and its text give a neighbourhood more than once
-    pairs = np.stack([t.column(c).to_numpy() for c in ("anchor", "nb")], axis=1)
-    t = t.take(pa.array(np.sort(np.unique(pairs, axis=0, return_index=True)[1])))
-    words = pa.concat_arrays(t.column("words").chunks)
-    sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
-    number = lambda c: t.column(c).to_numpy()
-    nb, a, z, lo, hi = repeats(sizes, words.flatten().to_numpy().view(np.uint64), number("anchor"), number("off"), number("low_doc"), number("high_doc"), number("often"), block, memory, folder)
-    off = number("off")[nb]
-    yield pa.RecordBatch.from_arrays([pa.array(number("nb")[nb]), pa.array(number("anchor")[nb]), *[pa.array(x) for x in (a - off, z - off, lo, hi)]], ["nb", "anchor", "a", "z", "lo", "hi"])
+    for own, a, z, lo, hi in repeats(t, words, block, s):
+        off = t["off"][own]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t["nb"][own], t["anchor"][own], a - off, z - off, lo, hi)], ["nb", "anchor", "a", "z", "lo", "hi"])
 
 
 def repeated_passages(docs: DataFrame, block: int = induced.BLOCK, memory: int = induced.MEMORY) -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -243,8 +244,17 @@ def test_lm_brute_force(spark, texts, monkeypatch, dense):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_induced_sorting(seed, tmp_path):
+def test_induced_sorting(seed, tmp_path, monkeypatch):
     rng = np.random.default_rng(seed)
+    made = induced.Scratch.__init__
+
+    def tiny(self, folder=None, memory=0):
+        made(self, folder, memory)
+        if memory == 4:
+            self.block = int(rng.choice([2, 7]))
+            self.run = 2 * self.block
+
+    monkeypatch.setattr(induced.Scratch, "__init__", tiny)
     for _ in range(60):
         n, s = int(rng.integers(1, 70)), int(rng.integers(1, 6))
         t = rng.integers(1, s + 1, n)
@@ -259,7 +269,42 @@ def test_induced_sorting(seed, tmp_path):
     assert list(tmp_path.iterdir()) == []  # the queues' files are gone
 
 
-@pytest.mark.parametrize("memory", [1 << 24, 500])
+def test_memory_of_induced_sorting(tmp_path):
+    rng = np.random.default_rng(1)
+    memory, peak = 1 << 11, {}
+    texts = []
+    for n in (10 * memory, 20 * memory):
+        t = rng.zipf(1.3, n) % 3000 + 1
+        for a, b in rng.integers(0, n - 600, (20, 2)):
+            t[b : b + 500] = t[a : a + 500]
+        t[100:300] = 7  # a symbol with more than a block of suffixes, and a long run
+        texts.append(np.append(t, 0).astype(np.int32))
+    for folder in (str(tmp_path), None):
+        for t in texts:
+            tracemalloc.start()
+            out = induced.suffix_array(t, 1 << 16, memory, folder)
+            peak[folder is None, len(t)] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            if folder:
+                kept = [x.copy() for x in out]
+    assert all(np.array_equal(x, y) for x, y in zip(kept, out)) and list(tmp_path.iterdir()) == []
+    short, long = len(texts[0]), len(texts[1])
+    # in core the peak is of the text's length; with files only what is noted of each block is
+    grown = {core: peak[core, long] - peak[core, short] for core in (True, False)}
+    assert peak[False, long] < peak[True, long] / 15 and grown[False] < grown[True] / 15
+
+
+@pytest.mark.parametrize("block", [3, 20])
+def test_parts_of_a_sort(tmp_path, block):
+    s = induced.Scratch(str(tmp_path), 0)
+    s.block, s.run = block, 3 * block
+    key = np.random.default_rng(2).zipf(1.5, 1000)
+    got = list(induced.in_order(s.copy(key), s.copy(np.arange(1000)), s))
+    assert np.array_equal(np.concatenate([k for k, _, _ in got]), np.sort(key)) and np.array_equal(key[np.concatenate([v for _, v, _ in got])], np.sort(key))
+    assert [b for _, _, b in got] == [*[int(k[0]) for k, _, _ in got[1:]], None]
+
+
+@pytest.mark.parametrize("memory", [1 << 26, 20_000])
 def test_passages_brute_force(docs, texts, memory):
     n = suffixes.MIN_WORDS
     words = {i: tok.words(t) for i, t in texts.items()}
