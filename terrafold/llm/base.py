@@ -1,7 +1,11 @@
 """What the operators of this subpackage share."""
 
+import atexit
+import os
 import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share; one of our own, for the life of the process, only where the session names none and all runs in one process, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = named or tempfile.mkdtemp(prefix="terrafold-")
+        if not named:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="terrafold-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 
+def mounted_dir(spark: SparkSession) -> str:
+    """The shared folder as a path, for files that tasks map; it must be mounted on all machines."""
+    path = re.sub("^file:/+", "/", shared_dir(spark))
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"this operator maps files, so spark.checkpoint.dir must be a mounted folder, not {path}")
+    return path
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, gone when the driver's process ends."""
+    folder = os.path.join(mounted_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder, which outlive any executor."""
     shared_dir(df.sparkSession)
@@ -28,8 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long documents within a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Keeps Arrow batches of long documents within a Python worker's memory, unless the session has a size of its own choice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(name):
+        spark.conf.set(name, "1000")
 
 
 def doc_key() -> list[Column]:
@@ -63,7 +89,3 @@ def free_name(docs: DataFrame, name: str) -> str:
         name += "_"
     return name
 
-
-def clean_spark_dir(path: str) -> str:
-    """A local path of a folder given as one or as a file: URL."""
-    return re.sub("^file:/+", "/", path)

@@ -1,16 +1,18 @@
-"""Operator 7: language-model scores of documents, by a weighted backoff automaton.
-
-An n-gram model of order `ORDER` over `SYMBOLS` classes of characters is counted over all documents and smoothed by
-Witten and Bell's method. The contexts that occur are the automaton's states. A state has an arc for each symbol seen
-after it, with log2 of its probability, and a failure arc to its longest proper suffix, with log2 of the backoff
-weight. A document is scored in one traversal from the left that carries the state and adds up the weights.
-
-The traversal is vectorised: texts are laid in rows of `CHUNK` symbols, and all rows take a step at once. A state
-depends on the last ORDER - 1 symbols only, so a row begins with those that precede it and ends up in the very state.
-The model's size is bounded by the number of classes and the order, not by the corpus; up to `DENSE_BYTES` a task
-follows the failure arcs once for each state and symbol and keeps the result as a table, beyond that at each step.
-
-Beside it, `wordlm` counts all pairs of words and scores the words of each document; that model grows with the corpus.
+"""Operator 7: language-model scores of documents, by a weighted backoff automaton over tokens.
+
+Tokens are words (any script, lower case), single CJK and astral characters, and runs of other characters between
+blanks. All pairs of consecutive tokens of all texts are counted, so the model grows with the corpus. A state is a
+token that occurs (or a text's beginning), with how often tokens follow it and how many different ones; its arcs are
+the pairs that occur, its failure arc leads to the root, whose arcs are the tokens. By Witten and Bell's method an arc
+weighs log2((c + k * p1) / (t + k)), c being the pair's count, t and k the state's followers and different followers,
+p1 the token's probability at the root; a missing arc is the same with c = 0, that is the failure arc's k / (t + k)
+times p1. A document is scored in one traversal from the left that carries the state and adds up the weights.
+
+Arcs keep c, so that no exchange is needed to bring p1 to them, and the weight is taken where it is used. Tasks count
+pairs and send them to the part of their first token; a part's arcs and states are merged and sorted by one task, which
+writes them to the shared folder. Nothing of the model passes through the driver but its two sums. Scoring tasks map
+the files and look up each distinct pair of a slice once, in the files' order. Tokens are compared as 64-bit hashes,
+pairs as 48 bits of hash beside 16 of the first token.
 """
 
 import os
@@ -18,273 +20,171 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm import tok, wordlm
-from terrafold.llm.base import clean_spark_dir, shared_dir, small_batches
-
-ORDER = 5
-SYMBOLS = 64
-CHUNK = 512
-DENSE_BYTES = 256 << 20
-BROADCAST_BYTES = 64 << 20
-_BEGIN, _PAD = 0, 63
-_BITS = 6
-
-
-def _classes() -> np.ndarray:
-    table = np.full(0x10000, 62, np.uint8)
-    for cp in range(0x10000):
-        ch = chr(cp)
-        if ch in "\n\r":
-            table[cp] = 2
-        elif ch.isspace():
-            table[cp] = 1
-        elif ch.isdigit():
-            table[cp] = 3
-        elif "a" <= ch <= "z":
-            table[cp] = 4 + cp - 97
-        elif ch.isalpha():
-            table[cp] = 61
-    for k, ch in enumerate("éèêçñóíáúüöäßàâîôûùëïåøæœ"):
-        table[ord(ch)] = 30 + k
-    for k, group in enumerate((".", ",", "'\"’‘“”", ";:?()-", "!", "#$%&*|<>{}[]=+~^@\\/_")):
-        for ch in group:
-            table[ord(ch)] = 55 + k
-    return table
-
-
-CLASSES = _classes()
-
-
-def symbols(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the characters of all texts, and how many each text has."""
-    low = pc.utf8_lower(pc.fill_null(part, ""))
-    cps = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return CLASSES[np.minimum(cps, 0xFFFF)], pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _begun(sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols with ORDER - 1 beginnings before each text, and where the real ones are."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(sym)) + (doc + 1) * (ORDER - 1)
-    full = np.full(len(sym) + len(counts) * (ORDER - 1), _BEGIN, np.uint8)
-    full[at] = sym
-    return full, at
-
-
-def _counted(batches):
-    codes, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+from terrafold.llm import tok
+from terrafold.llm.base import own_folder, small_batches
+
+#: Tokens that a task counts before it sends them.
+HELD_TOKENS = 1 << 22
+_BEGIN, _END = np.uint64(0x51ED270B7F4A7C15), np.uint64(0x2545F4914F6CDD1D)
+_K = np.uint64(tok.Q)
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs: the first 16 bits of the first word's hash, which name the part, and 48 of the pair's."""
+    return (u & np.uint64(0xFFFF << 48)) | (tok.mix(u * _K + w) >> np.uint64(16))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+
+
+def _before(w: tok.Words) -> np.ndarray:
+    """The token before each token, or the beginning."""
+    u = np.append(_BEGIN, w.hash[:-1])[: len(w.hash)]
+    u[w.first[:-1][w.counts() > 0]] = _BEGIN
+    return u
+
+
+def _counted(batches, parts: int, most: int):
+    held, size = [], 0
+
+    def sent():
+        u, w = (np.concatenate(x) for x in zip(*held))
+        g, at, n = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
+        order = np.lexsort((g, u[at]))
+        u, g, n = u[at][order], g[order], n[order]
+        bounds = np.searchsorted(_part(u, parts), np.arange(parts + 1))
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        rows = []
+        for p in full:
+            a, z = bounds[p], bounds[p + 1]
+            us, ks = np.unique(u[a:z], return_counts=True)
+            rows.append((us.tobytes(), ks.astype(np.uint32).tobytes(), g[a:z].tobytes(), n[a:z].astype(np.uint32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in zip(*rows)]], ["part", "us", "ks", "gs", "ns"])
+
     for batch in batches:
         for _, part in tok.slices(batch.column(0), 1 << 21):
-            full, at = _begun(*symbols(part))
-            code = np.zeros(len(at), np.uint32)
-            for k in range(ORDER - 1, -1, -1):
-                code = (code << np.uint32(_BITS)) | full[at - k]
-            new, n = np.unique(code, return_counts=True)
-            codes, inverse = np.unique(np.concatenate([codes, new]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-    for k in range(0, len(codes), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + (1 << 16)].view(np.int32)), pa.array(counts[k : k + (1 << 16)])], ["code", "n"])
-
-
-class Automaton:
-    """levels[l]: sorted codes of the contexts of l symbols; states are numbered by level, then code."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        grams, n = codes[order].astype(np.int64), counts[order].astype(np.int64)
-        by_size = [(grams, n)]
-        for size in range(ORDER - 1, 0, -1):
-            short, inverse = np.unique(by_size[0][0] & ((1 << _BITS * size) - 1), return_inverse=True)
-            by_size.insert(0, (short, np.bincount(inverse, by_size[0][1], len(short)).astype(np.int64)))
-        self.levels, self.first = [], [0]
-        self.arc_key, self.arc_logp, self.arc_to, self.fail, self.back = [], [], [], [], []
-        below = None
-        for level, (g, c) in enumerate(by_size):
-            ctx, where, kinds = np.unique(g >> _BITS, return_inverse=True, return_counts=True)
-            total = np.bincount(where, c, len(ctx))
-            if level == 0:
-                low = np.full(len(g), 1 / (SYMBOLS - 1))
-                fail = np.zeros(len(ctx), np.int64)
-            else:
-                low = below[1][np.searchsorted(below[0], g & ((1 << _BITS * level) - 1))]
-                fail = self.first[level - 1] + np.searchsorted(self.levels[-1], ctx & ((1 << _BITS * (level - 1)) - 1))
-            p = (c + kinds[where] * low) / (total + kinds)[where]
-            below = (g, p)
-            self.levels.append(ctx)
-            self.arc_key.append(((self.first[level] + where) << _BITS) | (g & (SYMBOLS - 1)))
-            self.arc_logp.append(np.log2(p))
-            self.fail.append(fail)
-            self.back.append(np.log2(kinds / (total + kinds)))
-            self.first.append(self.first[level] + len(ctx))
-        for level, (g, _) in enumerate(by_size):
-            to = np.full(len(g), -1, np.int64)  # -1: the state that the failure arc's arc leads to
-            if level + 1 < ORDER and len(self.levels[level + 1]):
-                ctx = self.levels[level + 1]
-                i = np.minimum(np.searchsorted(ctx, g), len(ctx) - 1)
-                to = np.where(ctx[i] == g, self.first[level + 1] + i, -1)
-            self.arc_to.append(to)
-        self.states = max(self.first[-1], 1)
-        self._resolve()
-
-    def _resolve(self) -> None:
-        """Targets of arcs that lead to no longer context: those of the same symbol from the suffix."""
-        for level in range(len(self.arc_key)):
-            to, key = self.arc_to[level], self.arc_key[level]
-            open_ = to < 0
-            if level == 0:
-                to[open_] = 0
-            elif open_.any():
-                state = (key[open_] >> _BITS) - self.first[level]
-                k = (self.fail[level][state] << _BITS) | (key[open_] & (SYMBOLS - 1))
-                to[open_] = self.arc_to[level - 1][np.searchsorted(self.arc_key[level - 1], k)]
-        self.keys, self.logp, self.to = (np.concatenate(x) for x in (self.arc_key, self.arc_logp, self.arc_to))
-        self.fails, self.backs = np.concatenate(self.fail).astype(np.int32), np.concatenate(self.back)
-        self.keys, self.to, self.logp = self.keys.astype(np.int64), self.to.astype(np.int32), self.logp.astype(np.float32)
-        self.sizes = [len(x) for x in self.levels]
-        self.begin = [self.first[l] if l < len(self.levels) and len(self.levels[l]) and self.levels[l][0] == 0 else 0 for l in range(ORDER)]
-        self.levels = self.arc_key = self.arc_logp = self.arc_to = self.fail = self.back = None
-
-    def nbytes(self) -> int:
-        return self.keys.nbytes + self.logp.nbytes + self.to.nbytes + self.fails.nbytes + self.backs.nbytes
-
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """Next state and weight of every state and symbol, failure arcs followed."""
-        to = np.zeros((self.states, SYMBOLS), np.int32)
-        w = np.zeros((self.states, SYMBOLS), np.float32)
-        a = 0
-        done = 0
-        for level, size in enumerate(self.sizes):
-            z = a + size
-            if level == 0:
-                w[:1] = np.log2(1 / (SYMBOLS - 1)) + (self.backs[0] if len(self.backs) else 0)
-            else:
-                to[a:z], w[a:z] = to[self.fails[a:z]], w[self.fails[a:z]] + self.backs[a:z, None].astype(np.float32)
-            end = int(np.searchsorted(self.keys, z << _BITS))
-            to.ravel()[self.keys[done:end]], w.ravel()[self.keys[done:end]] = self.to[done:end], self.logp[done:end]
-            a, done = z, end
-        return to.ravel(), w.ravel()
-
-    def stepper(self):
-        """(states, symbols) -> (next states, weights); a pad leads nowhere and weighs nothing."""
-        if self.states * SYMBOLS * 8 <= DENSE_BYTES:
-            to, w = self.dense()
-            to.reshape(-1, SYMBOLS)[:, _PAD] = 0
-            w.reshape(-1, SYMBOLS)[:, _PAD] = 0
-
-            def step(state, sym):
-                k = state * SYMBOLS + sym
-                return to[k], w[k]
-
-            return step
-
-        def slow(state, sym):
-            out, weight = np.zeros(len(state), np.int32), np.zeros(len(state), np.float64)
-            open_ = np.flatnonzero(sym != _PAD)
-            at = state.astype(np.int64)
-            while len(open_):
-                k = (at[open_] << _BITS) | sym[open_]
-                i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-                hit = self.keys[i] == k
-                out[open_[hit]] = self.to[i[hit]]
-                weight[open_[hit]] += self.logp[i[hit]]
-                miss = open_[~hit]
-                weight[miss] += self.backs[at[miss]]
-                root = miss[at[miss] == 0]
-                weight[root] += np.log2(1 / (SYMBOLS - 1))
-                open_ = miss[at[miss] != 0]
-                at[open_] = self.fails[at[open_]]
-            return out, weight
-
-        return slow
-
-
-def score(model: Automaton, step, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """log2 of the probability of each text, and its number of symbols."""
-    sym, counts = symbols(part)
-    full, at = _begun(sym, counts)
-    rows_of = -(-counts // CHUNK)
-    doc = np.repeat(np.arange(len(counts)), rows_of)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of)
-    start = (np.cumsum(counts) - counts)[doc] + (doc + 1) * (ORDER - 1) + number * CHUNK
-    length = np.minimum(counts[doc] - number * CHUNK, CHUNK)
-    total = np.zeros(len(counts))
-    state = np.zeros(len(doc), np.int64)
-    for k in range(ORDER - 1):  # the symbols before each row
-        s = full[start - (ORDER - 1) + k].astype(np.int64)
-        begun = (number == 0) & (s == _BEGIN)
-        state = np.where(begun, model.begin[k + 1], step(state, s)[0]).astype(np.int64)
-    sums = np.zeros(len(doc))
-    padded = np.append(full, np.full(CHUNK, _PAD, np.uint8))
-    for t in range(int(length.max()) if len(length) else 0):
-        s = np.where(t < length, padded[start + t], _PAD).astype(np.int64)
-        state, w = step(state, s)
-        state = state.astype(np.int64)
-        sums += w
-    np.add.at(total, doc, sums)
-    return total, counts
-
-
-def _scored(batches, load, words: wordlm.Model):
-    model = load()
-    step = model.stepper()
+            w = tok.Words(part, every=True)
+            if len(w.hash):
+                last = w.hash[w.first[1:][w.counts() > 0] - 1]
+                held.append((np.append(_before(w), last), np.append(w.hash, np.full(len(last), _END))))
+                size += len(held[-1][0])
+            if size >= most:
+                yield from sent()
+                held, size = [], 0
+    if held:
+        yield from sent()
+
+
+def _save(folder: str, name: str, arr: np.ndarray) -> None:
+    """Whole or not at all, also where a task runs twice."""
+    own = os.path.join(folder, f".{uuid.uuid4().hex}.npy")
+    np.save(own, arr)
+    os.replace(own, os.path.join(folder, f"{name}.npy"))
+
+
+def _merged(batches, folder: str):
+    """Writes the arcs and states of each part; (tokens, kinds) of it."""
+    by_part: dict[int, list] = {}
+    for batch in batches:
+        for p, *blobs in zip(*[c.to_pylist() for c in batch.columns]):
+            by_part.setdefault(p, []).append(blobs)
+    for p, rows in by_part.items():
+        us, ks, gs, ns = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate((np.uint64, np.uint32, np.uint64, np.uint32)))
+        g, at, where = np.unique(gs, return_index=True, return_inverse=True)
+        n = np.bincount(where, ns, len(g)).astype(np.int64)
+        u = np.repeat(us, ks)[at]
+        state, of = np.unique(u, return_inverse=True)
+        end = pair_keys(state, np.full(len(state), _END))
+        i = np.minimum(np.searchsorted(g, end), len(g) - 1)
+        ended = g[i] == end
+        ends = np.where(ended, n[i], 0)
+        seen = np.bincount(of, n, len(state)).astype(np.int64)
+        followed, kinds = seen - ends, np.bincount(of, minlength=len(state)) - ended
+        seen[state == _BEGIN] = 0
+        _save(folder, f"{p}-arcs", g)
+        _save(folder, f"{p}-counts", n.astype(np.uint32) if n.max() < 1 << 32 else n)
+        _save(folder, f"{p}-states", state)
+        _save(folder, f"{p}-sums", np.stack([seen, followed, kinds]))
+        yield pa.RecordBatch.from_arrays([pa.array([int(seen.sum())]), pa.array([int((seen > 0).sum())])], ["tokens", "kinds"])
+
+
+class Model:
+    """The files of a folder, mapped when first used."""
+
+    def __init__(self, folder: str, parts: int, tokens: int, kinds: int):
+        self.folder, self.parts, self.tokens, self.kinds = folder, parts, tokens, kinds
+        self.open: dict[str, np.ndarray | None] = {}
+
+    def _file(self, name: str) -> np.ndarray | None:
+        if name not in self.open:
+            path = os.path.join(self.folder, f"{name}.npy")
+            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return self.open[name]
+
+    def _found(self, keys: np.ndarray, names: str, values: str, out: np.ndarray) -> np.ndarray:
+        """out with the values of those sorted keys that the files have."""
+        bounds = np.searchsorted(_part(keys, self.parts), np.arange(self.parts + 1))
+        for p in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            have = self._file(f"{p}-{names}")
+            if have is None:
+                continue
+            a, z = bounds[p], bounds[p + 1]
+            i = np.minimum(np.searchsorted(have, keys[a:z]), len(have) - 1)
+            out[..., a:z] = np.where(have[i] == keys[a:z], self._file(f"{p}-{values}")[..., i], 0)
+        return out
+
+    def weights(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each token w after u. The tokens of the corpus and one class of all others sum to 1."""
+        both, where = np.unique(np.concatenate([u, w]), return_inverse=True)
+        seen, followed, kinds = self._found(both, "states", "sums", np.zeros((3, len(both)), np.int64))
+        g, pair = np.unique(pair_keys(u, w), return_inverse=True)
+        c = self._found(g, "arcs", "counts", np.zeros(len(g), np.int64))[pair]
+        first, second = where[: len(u)], where[len(u) :]
+        p1 = (seen[second] + self.kinds / (self.kinds + 1)) / (self.tokens + self.kinds) if self.tokens else np.ones(len(w))
+        t, k = followed[first], kinds[first]
+        return np.log2(np.where(t > 0, (c + k * p1) / np.maximum(t + k, 1), p1))
+
+
+def score(model: Model, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """log2 of the probability of each text's tokens, and how many they are."""
+    w = tok.Words(part, every=True)
+    counts = w.counts()
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), model.weights(_before(w), w.hash), len(counts)), counts
+
+
+def train(corpus: DataFrame) -> Model:
+    spark = corpus.sparkSession
+    small_batches(spark)
+    folder = own_folder(spark, "lm")
+    most, parts = HELD_TOKENS, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    pairs = corpus.filter(F.col("text").isNotNull()).select("text").mapInArrow(lambda it: _counted(it, parts, most), "part int, us binary, ks binary, gs binary, ns binary")
+    sums = pairs.repartition(parts, "part").mapInArrow(lambda it: _merged(it, folder), "tokens bigint, kinds bigint").agg(F.sum("tokens"), F.sum("kinds")).first()
+    return Model(folder, parts, sums[0] or 0, sums[1] or 0)
+
+
+def _scored(batches, model: Model):
     for batch in batches:
         for at, part in tok.slices(batch.column(1)):
-            valid = part.is_valid().to_numpy(zero_copy_only=False)
-            total, counts = score(model, step, part)
-            none = ~valid
+            none = part.is_null().to_numpy(zero_copy_only=False)
+            total, counts = score(model, part)
             bits = np.where(counts > 0, -total / np.maximum(counts, 1), 0)
-            by_words, n_words = wordlm.score(words, part)
-            word_bits = np.where(n_words > 0, -by_words / np.maximum(n_words, 1), 0)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(at, len(part)), pa.array(counts, mask=none), pa.array(total, mask=none), pa.array(bits, mask=none | (counts == 0)),
-                    pa.array(n_words, mask=none), pa.array(by_words, mask=none), pa.array(word_bits, mask=none | (n_words == 0)),
-                ],
-                ["doc_id", "n_symbols", "log2_prob", "bits_per_symbol", "n_words", "word_log2_prob", "bits_per_word"],
-            )
-
-
-def ngrams(docs: DataFrame) -> DataFrame:
-    """(code, n): how often each run of ORDER symbols occurs in all texts, beginnings included."""
-    small_batches(docs.sparkSession)
-    counted = docs.filter(F.col("text").isNotNull()).select("text").mapInArrow(_counted, "code int, n bigint")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def train(docs: DataFrame) -> Automaton:
-    table = ngrams(docs).toArrow()
-    return Automaton(table.column("code").to_numpy().view(np.uint32) if table.num_rows else np.zeros(0, np.uint32), table.column("n").to_numpy() if table.num_rows else np.zeros(0, np.int64))
+                [batch.column(0).slice(at, len(part)), pa.array(counts, mask=none), pa.array(total, mask=none), pa.array(bits, mask=none | (counts == 0))],
+                ["doc_id", "n_tokens", "log2_prob", "bits_per_token"],
+            )
 
 
 def score_documents(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_symbols, log2_prob, bits_per_symbol, n_words, word_log2_prob, bits_per_word) for every row, by the models of `corpus`, or of docs themselves.
+    """(doc_id, n_tokens, log2_prob, bits_per_token) for every row, by the model of `corpus`, or of docs themselves.
 
-    Every text counts once for each row it stands in. A null text has null scores and isn't counted; an empty one has
-    0 symbols and words, log2_prob 0 and null bits, and so has a text without words in what is of words. A null doc_id and repeated rows are kept as they are. Texts are scored whole. Further
-    columns, whatever their names, are left out. With an empty corpus all symbols are equally likely,
-    and any word is certain to be an unknown one.
+    Every text counts once for each row it stands in. A null text has null scores and isn't counted; an empty one, or
+    one of blanks, has 0 tokens, log2_prob 0 and null bits. A null doc_id and repeated rows are kept as they are. Texts
+    are scored whole. Further columns, whatever their names, are left out. With an empty corpus any token is certain
+    to be an unknown one. The model's files stay until the driver's process ends, as the result reads them.
     """
     model = train(docs if corpus is None else corpus)
-    words = wordlm.train(docs if corpus is None else corpus)
-    if model.nbytes() <= BROADCAST_BYTES:
-        load = lambda: model
-    else:
-        folder = os.path.join(clean_spark_dir(shared_dir(docs.sparkSession)), f"lm-{uuid.uuid4().hex}")
-        os.makedirs(folder)
-        arrays = {k: v for k, v in vars(model).items() if isinstance(v, np.ndarray)}
-        for k, v in arrays.items():
-            np.save(os.path.join(folder, f"{k}.npy"), v)
-        rest = {k: v for k, v in vars(model).items() if k not in arrays}
-
-        def load():
-            m = Automaton.__new__(Automaton)
-            vars(m).update(rest)
-            for k in arrays:
-                setattr(m, k, np.load(os.path.join(folder, f"{k}.npy"), mmap_mode="r"))
-            return m
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scored(it, load, words), "doc_id bigint, n_symbols bigint, log2_prob double, bits_per_symbol double, n_words bigint, word_log2_prob double, bits_per_word double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(lambda it: _scored(it, model), "doc_id bigint, n_tokens bigint, log2_prob double, bits_per_token double")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import induced, tok
-from terrafold.llm.base import clean_spark_dir, cut, shared_dir, small_batches
+from terrafold.llm.base import cut, mounted_dir, small_batches
 from terrafold.llm.urlfilter import BITS_PER_KEY, BROADCAST_BYTES, bloom, possible
 
 MIN_WORDS = 50
@@ -260,7 +260,7 @@ def repeated_passages(docs: DataFrame, block: int = induced.BLOCK, memory: int =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = clean_spark_dir(shared_dir(spark))
+    folder = mounted_dir(spark)
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange by anchor serves the counts of both halves

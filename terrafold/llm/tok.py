@@ -18,6 +18,8 @@ _R = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, 256, dt
 _ASCII_WORD = np.zeros(256, bool)
 _ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
 _ASCII_WORD[128:] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 P = 0x9E3779B97F4A7C15
 Q = 0xD6E8FEB86659FD93
 _M = (1 << 64) - 1
@@ -65,9 +67,12 @@ def slices(arr: pa.Array, limit: int = 1 << 20):
 
 
 class Words:
-    """Words of a slice: hash, and of each document the first word in `first` (one more entry than documents)."""
+    """Words of a slice: hash, and of each document the first word in `first` (one more entry than documents).
 
-    def __init__(self, arr: pa.Array):
+    With `every` also what stands between words, but for ASCII blanks, in runs; CJK and astral characters are then words of their own.
+    """
+
+    def __init__(self, arr: pa.Array, every: bool = False):
         arr = pc.utf8_lower(pc.fill_null(arr, "")).cast(pa.large_string())
         off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
         raw = arr.buffers()[2]
@@ -89,14 +94,17 @@ class Words:
                 w[two + 1] = False
                 for k in range(3):
                     w[three + k] = False
-        edge = word[1:] != word[:-1]
-        inner = off[1:-1]
-        inner = inner[(inner > 0) & (inner < n)]
-        joined = np.unique(inner[word[inner] & word[inner + 1]])  # two documents whose words touch, empty ones between them or not
-        at = np.flatnonzero(edge)
-        if len(joined):
-            at = np.sort(np.concatenate([at, joined, joined]))
-        self.start, self.end = at[0::2], at[1::2]
+        if every:
+            self.start, self.end = self._tokens(b, off, w)
+        else:
+            edge = word[1:] != word[:-1]
+            inner = off[1:-1]
+            inner = inner[(inner > 0) & (inner < n)]
+            joined = np.unique(inner[word[inner] & word[inner + 1]])  # two documents whose words touch, empty ones between them or not
+            at = np.flatnonzero(edge)
+            if len(joined):
+                at = np.sort(np.concatenate([at, joined, joined]))
+            self.start, self.end = at[0::2], at[1::2]
         pre = np.zeros(n + 1, np.uint64)
         np.cumsum(_R[b] * powers(P, n), out=pre[1:])
         h = (pre[self.end] - pre[self.start]) * powers(inverse(P), n + 1)[self.start]
@@ -104,6 +112,22 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.bytes, self.off = b, off
 
+    @staticmethod
+    def _tokens(b: np.ndarray, off: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(b)
+        blank = _BLANK[b]
+        new = np.zeros(n + 4, bool)
+        new[1:n] = (w[1:] != w[:-1]) | blank[:-1]
+        new[off] = True
+        if n and b.max() >= 0xE3:
+            nxt = np.append(b[1:], np.uint8(0))
+            for lead, size in ((w & (b > 0xE2) & (b < 0xEA) & ((b > 0xE3) | (nxt > 0x80)), 3), (w & (b > 0xEF), 4)):
+                at = np.flatnonzero(lead)
+                new[at] = new[at + size] = True
+        start = np.flatnonzero(new[:n] & ~blank)
+        gaps = np.append(np.flatnonzero(blank), n)
+        return start, np.minimum(np.append(start[1:], n), gaps[np.searchsorted(gaps, start)])
+
     def grams(self, n: int, mult: int = Q) -> np.ndarray:
         """Hash of the n words from each word on; of no meaning where those pass the document's end."""
         t = len(self.hash)

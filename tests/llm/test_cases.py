@@ -87,11 +87,12 @@ def test_urls(spark):
 
 
 def test_lm(docs, nothing):
-    out = {(r["doc_id"], r["n_symbols"]): r for r in lm.score_documents(docs).collect()}
-    assert out[2, None]["log2_prob"] is None and out[3, 0]["log2_prob"] == 0 and out[3, 0]["bits_per_symbol"] is None and out[1, len(LONG)]["bits_per_symbol"] > 0
+    rows = lm.score_documents(docs).collect()
+    out = {(r["doc_id"], r["n_tokens"]): r for r in rows}
+    assert len(rows) == len(ROWS) and sum(r["doc_id"] is None for r in rows) == 2 and sum(r["doc_id"] == 4 for r in rows) == 3
+    assert out[2, None]["log2_prob"] is None and out[3, 0]["log2_prob"] == out[5, 0]["log2_prob"] == 0 and out[3, 0]["bits_per_token"] is None and out[1, 100_000]["bits_per_token"] > 0
     assert lm.score_documents(nothing).count() == 0
-    flat = lm.score_documents(docs.filter("doc_id = 8"), nothing).first()
-    assert abs(flat["bits_per_symbol"] - 5.977) < 0.001
+    assert lm.score_documents(docs.filter("doc_id = 8"), nothing).first()["log2_prob"] == 0
 
 
 def test_suffixes(docs, nothing):

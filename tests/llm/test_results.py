@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrafold.llm import bpe, decontam, induced, linededup, lm, minhash, quality, queries, secrets, sharding, suffixes, tok, urlfilter
+from terrafold.llm import bpe, decontam, induced, linededup, minhash, quality, queries, secrets, sharding, suffixes, tok, urlfilter
 
 
 def rows_of(df):
@@ -204,42 +204,6 @@ def test_bloom_rates(spark):
     assert urlfilter.possible(spark.range(4000).select(F.concat(F.lit("out/"), F.col("id").cast("string")).alias("key")), bits, blocks).count() < 200
 
 
-# --- 7
-
-
-def brute_lm(corpus, texts):
-    def sym(t):
-        return [0] * (lm.ORDER - 1) + [int(lm.CLASSES[min(ord(c), 0xFFFF)]) for c in t.lower()]
-
-    count, after, kinds = collections.Counter(), collections.Counter(), collections.defaultdict(set)
-    for t in corpus:
-        s = sym(t)
-        for i in range(lm.ORDER - 1, len(s)):
-            for k in range(lm.ORDER):
-                h = tuple(s[i - k : i])
-                count[h, s[i]] += 1
-                after[h] += 1
-                kinds[h].add(s[i])
-
-    def p(h, c):
-        low = p(h[1:], c) if h else 1 / (lm.SYMBOLS - 1)
-        return (count[h, c] + len(kinds[h]) * low) / (after[h] + len(kinds[h])) if after[h] else low
-
-    return [sum(math.log2(p(tuple(s[i - lm.ORDER + 1 : i]), s[i])) for i in range(lm.ORDER - 1, len(s))) for s in map(sym, texts)]
-
-
-@pytest.mark.parametrize("dense", [1 << 30, 0])
-def test_lm_brute_force(spark, texts, monkeypatch, dense):
-    monkeypatch.setattr(lm, "DENSE_BYTES", dense)
-    monkeypatch.setattr(lm, "BROADCAST_BYTES", dense)
-    corpus = sorted(texts.values(), key=len)[:40]
-    scored = [*corpus[:10], "zq xj 9!", "ñandú", "word " * 400]
-    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["log2_prob"] for r in lm.score_documents(frame(scored), frame(corpus)).collect()}
-    for k, want in enumerate(brute_lm(corpus, scored)):
-        assert math.isclose(got[k], want, rel_tol=1e-6)
-
-
 # --- 8
 
 
