@@ -60,20 +60,31 @@ def test_words_agree():
 # --- 1
 
 
-def test_line_dedup_brute_force(spark):
+@pytest.mark.parametrize("least", [50, 4])
+def test_line_dedup_brute_force(spark, least):
     r = random.Random(3)
-    texts = {i: "\n".join(r.choice(["a", "b", " c ", "d", "", "e\t"]) for _ in range(r.randint(0, 14))) for i in range(40)}
+    some = ["a", "b", " c ", "d", "", "e\t", "f g\th", "x  y z w", "é \u00a0 q"]
+    texts = {i: "\n".join(r.choice(some) for _ in range(r.randint(0, 14))) for i in range(40)}
     seen, gone = set(), collections.defaultdict(set)
     for i in sorted(texts):
         full = [(k, line.strip(" \t\r")) for k, line in enumerate(texts[i].split("\n")) if line.strip(" \t\r")]
-        for a in range(len(full) - 2):
-            run = tuple(t for _, t in full[a : a + 3])
+        for a, n in itertools.product(range(len(full)), (1, 2, 3)):
+            run = tuple(t for _, t in full[a : a + n])
+            if len(run) < n or n < 3 and sum(len(re.findall("[^ \t\r]+", t)) for t in run) < least:
+                continue
             if run in seen:
-                gone[i] |= {k for k, _ in full[a : a + 3]}
+                gone[i] |= {k for k, _ in full[a : a + n]}
             seen.add(run)
     want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df, long_words=least).collect()} == want
+
+
+def test_long_paragraphs(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n\n {long}\t\nfour"), (3, long), (4, "short"), (5, "short")]
+    out = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("three\n\nfour", 1), 3: ("", 1), 4: ("short", 0), 5: ("short", 0)}
 
 
 # --- 2
