@@ -357,8 +357,32 @@ def smallest_by_search(sizes, shards):
     return next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= shards)
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_capacity_from_few_sums(seed, monkeypatch):
+    r = random.Random(seed)
+    monkeypatch.setattr(sharding, "FINER", r.choice([2, 5, 40]))
+    sizes = [r.choice([0, 1, 5, 30, r.choice([7, 400, 5000])]) for _ in range(r.randint(1, 120))] + [1]
+    shards, prefix = r.choice([1, 2, 7, 40]), np.cumsum(sizes)
+    total, even = int(prefix[-1]), -(-int(prefix[-1]) // shards)
+
+    def finer(*how):
+        parts = collections.defaultdict(list)
+        for b in sharding._extremes([pa.RecordBatch.from_arrays([pa.array(prefix)], ["prefix"])], *how):
+            for k, a, z in zip(*[c.to_pylist() for c in b.columns]):
+                parts[k] += [a, z]
+        return tuple(np.array([f(v) for v in parts.values()], np.int64) for f in (min, max))
+
+    capacity, cuts = sharding.smallest(max(max(sizes), even), even + max(sizes), total, shards, finer)
+    want, at = [], 0
+    while at < total:
+        at = max(p for p in prefix.tolist() if p <= at + capacity)
+        want.append(at)
+    assert capacity == smallest_by_search(sizes, shards) and cuts == want
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_sharding_brute_force(spark, seed):
+def test_sharding_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(sharding, "FINER", 8 if seed % 2 else 1 << 14)
     r = random.Random(seed)
     sizes = [r.choice([0, 1, 5, 30, 400 if seed == 3 else 7]) for _ in range(r.randint(5, 300))]
     shards = r.choice([1, 2, 7, 40])
