@@ -4,8 +4,10 @@ The benchmark's runs of `NGRAM` normalised words (a shorter item is one run itse
 windows of words of a document are hashed; hits are verified word by word, and the union of the hit windows goes, or
 the whole document if that is `drop_share` of its words or more. The documents are read once, without a shuffle.
 
-A benchmark of over `SET_BYTES` of text is cut into parts of at most that size; the documents then pass one scan after
-another in the same stage, each with its own part, and what goes is decided after the last.
+The set is flat arrays: sorted hashes, and for each a stretch of the items' normalised text, which verification compares; some
+`SET_FACTOR` bytes for each byte of text. A benchmark whose set would be over `SET_BYTES` is cut into parts of at most that
+size; the documents then pass one scan after another in the same stage, each with its own part, and what goes is
+decided after the last.
 """
 
 import math
@@ -21,59 +23,74 @@ from terrafold.llm.base import others, restored, small_batches
 NGRAM = 13
 MIN_ITEM = 5
 DROP_SHARE = 0.5
-SET_BYTES = 32 << 20
-
-
-def gram_set(texts: list[str | None], n: int, min_item: int) -> dict[int, dict[int, set[bytes]]]:
-    """length -> hash -> runs of words."""
-    out: dict[int, dict[int, set[bytes]]] = {}
-    arr = pa.array(texts, pa.string())
-    for _, part in tok.slices(arr):
-        w = tok.Words(part)
-        for d, c in enumerate(w.counts()):
-            size = min(n, int(c))
-            if size < min_item:
-                continue
-            a = int(w.first[d])
-            g = _grams_of(w, a, a + int(c), size)
-            for k, h in enumerate(g.tolist()):
-                out.setdefault(size, {}).setdefault(h, set()).add(_bytes_of(w, a + k, size))
-    return out
+SET_BYTES = 64 << 20
+SET_FACTOR = 6
+
 
+class Grams:
+    """The runs of words of some items, by length: sorted hashes, and where each begins and ends in `text`."""
 
-def _grams_of(w: tok.Words, a: int, z: int, n: int) -> np.ndarray:
-    return w.grams(n)[a : z - n + 1]
+    def __init__(self, texts: list[str | None], n: int, min_item: int):
+        found: dict[int, list] = {}
+        parts, size = [], 0
+        for _, part in tok.slices(pa.array(texts, pa.string())):
+            w = tok.Words(part)
+            lengths = w.end - w.start
+            # all words, with a blank behind each
+            ends = np.cumsum(lengths + 1)
+            begin = ends - lengths - 1
+            flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+            inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            flat[np.repeat(begin, lengths) + inside] = w.bytes[np.repeat(w.start, lengths) + inside]
+            parts.append(flat)
+            counts = w.counts()
+            left = np.repeat(w.first[1:], counts) - np.arange(len(w.hash))  # words from here to the item's end
+            own = np.repeat(np.minimum(counts, n), counts)
+            for m in np.unique(own[own >= min_item]).tolist():
+                at = np.flatnonzero((own == m) & (left >= m))
+                both = [w.grams(m, q)[at] for q in (tok.Q, tok.P)]
+                found.setdefault(m, []).append((*both, size + begin[at], size + ends[at + m - 1] - 1))
+            size += len(flat)
+        self.text = np.concatenate(parts).tobytes() if parts else b""
+        self.tables = []
+        for m, several in found.items():
+            key, other, begin, end = (np.concatenate(x) for x in zip(*several))
+            order = np.lexsort((other, key))
+            new = np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1]))
+            self.tables.append((m, *(x[order][new] for x in (key, begin, end))))
 
 
 def _bytes_of(w: tok.Words, k: int, n: int) -> bytes:
     return b" ".join(w.bytes[s:e].tobytes() for s, e in zip(w.start[k : k + n], w.end[k : k + n]))
 
 
-def _hits(w: tok.Words, lookup) -> np.ndarray:
+def _hits(w: tok.Words, grams: Grams, bits: list[np.ndarray]) -> np.ndarray:
     """Which words lie in a verified window."""
     delta = np.zeros(len(w.hash) + 1, np.int64)
     limit = np.repeat(w.first[1:], w.counts())
-    for n, keys, bits, exact in lookup:
+    for (n, keys, begin, end), likely in zip(grams.tables, bits):
         g = w.grams(n)
-        near = np.flatnonzero(bits[(g >> np.uint64(44)).astype(np.int64)])
+        near = np.flatnonzero(likely[(g >> np.uint64(44)).astype(np.int64)])
         near = near[near + n <= limit[near]]
         if not len(near):
             continue
-        i = np.minimum(np.searchsorted(keys, g[near]), len(keys) - 1)
-        for k in near[keys[i] == g[near]].tolist():
-            if _bytes_of(w, k, n) in exact[int(g[k])]:
+        first, behind = np.searchsorted(keys, g[near]), np.searchsorted(keys, g[near], "right")
+        hit = behind > first
+        for k, i, j in zip(near[hit].tolist(), first[hit].tolist(), behind[hit].tolist()):
+            own = _bytes_of(w, k, n)
+            if any(grams.text[begin[x] : end[x]] == own for x in range(i, j)):
                 delta[k] += 1
                 delta[k + n] -= 1
     return np.cumsum(delta)[:-1] > 0
 
 
-def _table(grams) -> list:
+def _likely(grams: Grams) -> list[np.ndarray]:
+    """For each length which first 20 bits hashes of the set have."""
     out = []
-    for n, exact in grams.items():
-        keys = np.array(sorted(exact), np.uint64)
+    for _, keys, _, _ in grams.tables:
         bits = np.zeros(1 << 20, bool)
         bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-        out.append((n, keys, bits, exact))
+        out.append(bits)
     return out
 
 
@@ -92,9 +109,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def _scan(batches, grams, final: bool, drop_share: float):
+def _scan(batches, grams: Grams, final: bool, drop_share: float):
     """Of (text, marks, ...) with marks the spans found so far: the same with those found here added, or with the text cut if this is the last scan."""
-    lookup = _table(grams)
+    bits = _likely(grams)
     for batch in batches:
         texts, marks = batch.column(0), batch.column(1)
         spans: dict[int, list] = {}
@@ -102,7 +119,7 @@ def _scan(batches, grams, final: bool, drop_share: float):
         known = marks.is_valid().to_numpy(zero_copy_only=False)
         for at, part in tok.slices(texts):
             w = tok.Words(part)
-            mark = _hits(w, lookup)
+            mark = _hits(w, grams, bits)
             counts = w.counts()
             doc = np.repeat(np.arange(len(counts)), counts)
             for d in np.union1d(np.unique(doc[mark]), np.flatnonzero(known[at : at + len(part)])).tolist():
@@ -142,11 +159,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_ite
     small_batches(spark)
     items = benchmark.select("text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / SET_BYTES))
+    parts = max(1, math.ceil(size * SET_FACTOR / SET_BYTES))
     d = docs.select("text", F.lit(None).cast("array<struct<a:int,z:int>>").alias("marks"), "doc_id", others(docs, "doc_id", "text", counted))
     for k in range(parts):
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        grams = gram_set([r[0] for r in part.toLocalIterator()], n, min_item)
+        grams = Grams([r[0] for r in part.toLocalIterator()], n, min_item)
         final = k == parts - 1
         schema = d.schema if not final else d.drop("marks").select("text", F.lit(0).cast("bigint").alias("words_removed"), "doc_id", "rest").schema
         d = d.mapInArrow(lambda it, g=grams, f=final: _scan(it, g, f, drop_share), schema)

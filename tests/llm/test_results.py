@@ -93,11 +93,21 @@ def test_long_paragraphs(spark):
 def test_decontamination_in_parts(spark, docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = {r["doc_id"]: (r["text"], r["words_removed"]) for r in decontam.decontaminate(docs, bench).collect()}
-    monkeypatch.setattr(decontam, "SET_BYTES", 2000)
+    monkeypatch.setattr(decontam, "SET_BYTES", 12_000)
     assert {r["doc_id"]: (r["text"], r["words_removed"]) for r in decontam.decontaminate(docs, bench).collect()} == whole
     assert any(n for _, n in whole.values()) and len(whole) < docs.count() + 1
 
 
+def test_size_of_the_set():
+    r = random.Random(4)
+    items = [" ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(r.randint(3, 60))) for _ in range(3000)]
+    g = decontam.Grams(items, decontam.NGRAM, decontam.MIN_ITEM)
+    size = len(g.text) + sum(x.nbytes for t in g.tables for x in t[1:])
+    assert size <= decontam.SET_FACTOR * sum(map(len, items)) and {t[0] for t in g.tables} == set(range(5, 14))
+    want = {(min(len(w), 13), " ".join(w[k : k + 13])) for t in items if len(w := t.split()) >= 5 for k in range(max(len(w) - 12, 1))}
+    assert {(n, g.text[a:z].decode()) for n, _, begin, end in g.tables for a, z in zip(begin, end)} == want
+
+
 def test_decontamination_planted(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     rows = [(1, "Before that. " + "x y z " * 40 + item.upper().replace(" ", ", ") + "! After."), (2, item), (3, " ".join(item.split()[:12]) + " and more"), (4, "short item is here now")]
