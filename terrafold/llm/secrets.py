@@ -1,13 +1,16 @@
 """Operator 3: scan for secrets, with a random forest that removes false positives.
 
-Candidates are runs of 12 characters or more of letters, digits and `+/_-` with what `=` pads base64 behind them, and
-whatever stands behind a key word: a value in quotes, of any characters, or one up to a blank, both of any length. Features
-are the length, shares of character kinds, transitions between characters (how often the kind changes, and the mean
-log-probability of the letter pairs, learned from the vocabulary's words), the share covered by words of a dictionary
-(words of 4 letters or more of the vocabulary), the path, and the neighbouring words. The forest is trained on
-labelled findings, at most `FINDINGS` rows of (before, value, after, path, secret). The tables of this project have no
-labelled findings, so unless others are given, `labelled_findings` makes lines and takes their candidates: keys and passwords of
-usual kinds in usual places against identifiers, numbers, checksums, commit ids, placeholders and words.
+Candidates are runs of 12 characters or more of letters, digits and `+/_-` with what `=` pads base64 behind them, three
+such runs joined by dots that begin as JSON Web Tokens do, and whatever stands behind a key word: a value in quotes, of
+any characters, or one up to a blank, both of any length. Features are the length, the entropy, shares of character kinds,
+transitions between characters (how often the kind changes, and the mean log-probability of the letter pairs, learned
+from the vocabulary's words), the share covered by words of a dictionary (words of 4 letters or more of the vocabulary),
+and words: for those of the path, before, just before, behind and inside the candidate how much more often they stand at
+secrets than at others, as log-odds learned from the labelled findings (for training rows from the other half of these).
+The forest is trained on labelled findings, (before, value, after, path, secret), at most `limit` of them, evenly taken.
+The tables of this project have none, so unless others are given, `labelled_findings` makes lines and takes their
+candidates: keys and passwords of usual kinds in usual places against identifiers, numbers, checksums, commit ids,
+placeholders and words.
 """
 
 import base64
@@ -25,25 +28,22 @@ from pyspark.sql import functions as F
 from terrafold.llm.base import small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-FINDINGS = 6000
-TREES = 40
-DEPTH = 10
+FINDINGS = 10_000
+TREES = 60
+DEPTH = 12
 NEAR = 40
+#: Words that stand at fewer findings tell nothing.
+OFTEN = 30
 CUTOFF = 0.5
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
+CANDIDATE = re.compile(r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|[A-Za-z0-9+/_\-]{12,}")
 _PADDING = re.compile(r"={1,2}(?![A-Za-z0-9+/_=\-])")
 _VALUE = r"""(?:(?P<quote>["'`])(?P<inside>[^\n]*?)(?P=quote)|(?P<bare>(?:(?!&[\w.\-]+=)[^\s"'`])+))"""
-_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw|passphrase|pwd|credential|bearer|auth|key|signature)[\w.\-]{0,100}+["'`\]]{0,2}[ \t]*(?:=>|:=|==?|:)[ \t]*(?:(?:bearer|basic|token)[ \t]+)?""" + _VALUE)
-_BEHIND = re.compile(r"(?i)(?<![a-z])(?:tokens?|secret|password|passwd|passphrase|pwd|credentials?|bearer|auth|(?:(?:api|access|private|client)[_ \-]?)?key|signature)[ \t]+(?:is[ \t]+)?" + _VALUE)
-_KEYISH = re.compile(r"(?i)(token|secret|passw|pwd|credential|bearer|auth|api_?key|access_?key|private_?key|\bkey\b|signature)")
-_HASHISH = re.compile(r"(?i)(commit|sha-?\d*|md5|checksum|digest|revision|uuid|\bid\b|hash|etag|build)")
-_FAKE = re.compile(r"(?i)(example|sample|dummy|placeholder|changeme|your|fake|test|xxx|redacted|insert)")
-_TESTISH = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|samples?|fixtures?|mocks?|docs?|spec)([/_.\-]|$)")
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw|passphrase|passe|pwd|credential|bearer|auth|key|signature|kennwort|geheim|schlüssel|contraseña|clave|jeton)[\w.\-]{0,100}+["'`\]]{0,2}[ \t]*(?:=>|:=|==?|:)[ \t]*(?:(?:bearer|basic|token)[ \t]+)?""" + _VALUE)
+_BEHIND = re.compile(r"(?i)(?<![a-z])(?:tokens?|secret|password|passwd|passphrase|mot de passe|passwort|kennwort|contraseña|pwd|credentials?|bearer|auth|(?:(?:api|access|private|client)[_ \-]?)?key|signature)[ \t]+(?:is[ \t]+)?" + _VALUE)
+_NAMED = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 _KIND = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}}
-FEATURES = (
-    *("length", "digits", "capitals", "other", "changes", "pairs", "distinct", "longest_same_kind", "dictionary", "hex_only", "fake_inside"),
-    *("path_test", "key_before", "key_near", "hash_near", "fake_near", "assigned", "quoted"),
-)
+PLACES = ("last", "before", "after", "path", "inside")
+FEATURES = ("length", "entropy", "digits", "capitals", "other", "changes", "pairs", "longest_same_kind", "dictionary", "hex_only", "assigned", "quoted", *(f"words_{p}" for p in PLACES))
 
 
 def _values(text: str, pattern: re.Pattern):
@@ -98,9 +98,10 @@ def letter_pairs(words: frozenset[str]) -> dict[str, float]:
     return {a + b: math.log((pairs.get(a + b, 0) + 0.5) / (total[a] + 13)) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"}
 
 
-def covered(value: str, words: frozenset[str], longest: int = 14) -> float:
-    """Share of the characters in dictionary words, the longest first from the left."""
+def covered(value: str, words: frozenset[str], longest: int | None = None) -> float:
+    """Share of the characters in dictionary words, the longest first from the left; longest: of the words."""
     low, at, inside = value.lower(), 0, 0
+    longest = longest or max(map(len, words), default=0)
     while at < len(low) - 3:
         for n in range(min(longest, len(low) - at), 3, -1):
             if low[at : at + n] in words:
@@ -112,22 +113,41 @@ def covered(value: str, words: frozenset[str], longest: int = 14) -> float:
     return inside / len(value)
 
 
-def features(before: str, value: str, after: str, path: str | None, words: frozenset[str], pairs: dict[str, float]) -> list[float]:
+def neighbours(before: str, value: str, after: str, path: str | None) -> list[list[str]]:
+    """Words at each of PLACES, each once; parts of names are words of their own."""
+    named = [[w.lower() for w in _NAMED.findall(x) if len(w) >= least] for x, least in ((before, 2), (after, 2), (path or "", 2), (value, 4))]
+    return [named[0][-1:], *[sorted(set(x)) for x in named]]
+
+
+def odds(rows) -> list[dict[str, float]]:
+    """For each of PLACES the log-odds of its words, from findings."""
+    seen: list[dict[bool, Counter]] = [{True: Counter(), False: Counter()} for _ in PLACES]
+    total = Counter(bool(r[4]) for r in rows)
+    for r in rows:
+        for place, some in zip(seen, neighbours(*r[:4])):
+            place[bool(r[4])].update(some)
+    out = []
+    for place in seen:
+        often = [w for w in {*place[True], *place[False]} if place[True][w] + place[False][w] >= OFTEN]
+        out.append({w: math.log((place[True][w] + 2) / (total[True] + 4)) - math.log((place[False][w] + 2) / (total[False] + 4)) for w in often})
+    return out
+
+
+def features(before: str, value: str, after: str, path: str | None, words: frozenset[str], pairs: dict[str, float], weights: list[dict[str, float]], longest: int | None = None) -> list[float]:
     kinds = [_KIND.get(c, 3) for c in value]
     n = len(value)
     change = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    run = longest = 1
+    run = most = 1
     for a, b in zip(kinds, kinds[1:]):
         run = run + 1 if a == b else 1
-        longest = max(longest, run)
+        most = max(most, run)
     low = value.lower()
     lp = [pairs.get(low[i : i + 2], -6.0) for i in range(n - 1)]
     tail = before.rstrip(" \t\"'`")
     return [
-        min(n, 200), kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n, change / max(n - 1, 1), sum(lp) / max(len(lp), 1), len(set(value)) / min(n, 64), longest / n,
-        covered(value, words), float(all(c in "0123456789abcdefABCDEF" for c in value)), float(bool(_FAKE.search(value))),
-        float(bool(_TESTISH.search(path or ""))), float(bool(_KEYISH.search(before[-16:]))), float(bool(_KEYISH.search(before + " " + after))), float(bool(_HASHISH.search(before[-24:]))),
-        float(bool(_FAKE.search(before + " " + after))), float(tail[-1:] in ("=", ":")), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""),
+        float(n), -sum(c / n * math.log2(c / n) for c in Counter(value).values()), kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n, change / max(n - 1, 1), sum(lp) / max(len(lp), 1), most / n,
+        covered(value, words, longest), float(all(c in "0123456789abcdefABCDEF" for c in value)), float(tail[-1:] in ("=", ":")), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""),
+        *[sum(known.get(w, 0.0) for w in some) for known, some in zip(weights, neighbours(before, value, after, path))],
     ]
 
 
@@ -138,6 +158,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
     b64, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     nice = [w for w in words if len(w) <= 9]
+    small = ("of", "the", "and", "in", "to", "a", "is", "it", "on", "at", "or", "de", "la", "le", "et", "un", "der", "die", "und", "zu", "ein", "el", "y", "que", "en")
+    places = ("app", "web", "ops", "docs", "config", "conf", "deploy", "src", "lib", "scripts", "data", "auth")
+    ends = ("py", "js", "go", "sh", "txt", "md", "json", "yml", "yaml", "env", "html", "ts", "java", "ini", "http", "log")
     chain: dict[str, list[str]] = {}
     for w in nice:
         for a, b in zip(w, w[1:]):
@@ -150,12 +173,15 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
         return s
 
     def prose(k: int) -> str:
-        return " ".join(r.choice(nice) if r.random() < 0.5 else invented(r.randint(2, 9)) for _ in range(k))
+        return " ".join(r.choice(small) if (x := r.random()) < 0.3 else r.choice(nice) if x < 0.6 else invented(r.randint(2, 9)) for _ in range(k))
+
+    def known() -> str:
+        """A key of a form that tells it wherever it stands."""
+        jwt = lambda: ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"' + pick(b64[:62], r.randint(4, 120)).encode() + b'"}', r.randbytes(32)))
+        return r.choice((lambda: "AKIA" + pick(b64[:26] + "234567", 16), lambda: "AKIA" + pick(b64[:26] + b64[52:62], 16), lambda: "ghp_" + pick(b64[:62], 36), lambda: "sk_live_" + pick(b64[:62], 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(b64[:62], 24), jwt))()
 
     def secret() -> str:
-        return r.choice(
-            (lambda: pick(hexa, r.choice((32, 40, 40, 64))), lambda: pick(hexa, 40).upper(), lambda: "AKIA" + pick(b64[:26] + "234567", 16), lambda: "ghp_" + pick(b64[:62], 36), lambda: pick(b64, r.choice((24, 40, 44, 64))), lambda: "sk_live_" + pick(b64[:62], 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(b64[:62], 24))
-        )()
+        return r.choice((lambda: pick(hexa, r.choice((18, 20, 32, 40, 40, 64))), lambda: pick(hexa, 40).upper(), lambda: pick(b64, r.choice((24, 40, 44, 64))), lambda: pick("0123456789", 10) + ":" + pick(b64[:62], 35), known))()
 
     def password() -> str:
         return r.choice((lambda: pick(b64[:62] + "!@#$%^*?.-_+~", r.randint(7, 16)), lambda: pick(b64[:62], r.randint(8, 16)), lambda: pick(b64[:52], r.randint(10, 19)), lambda: base64.b64encode(r.randbytes(r.choice((16, 20, 32)))).decode()))()
@@ -170,7 +196,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
             )
         )()
 
-    key = ("token", "TOKEN", "api_key", "secret", "password", "access_key", "auth token", "client_secret", "Authorization: Bearer", "private_key", "key")
+    key = ("token", "TOKEN", "api_key", "secret", "password", "passwd", "pwd", "access_key", "auth token", "client_secret", "Authorization: Bearer", "private_key", "key", "apiKey", "SECRET_KEY", "mot de passe", "Passwort", "contraseña")
     out = []
 
     def line(before: str, value: str, after: str, where: str, is_secret: bool) -> None:
@@ -182,12 +208,16 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
     k = 0
     while len(out) < n:
         k += 1
-        head, end, where = prose(4), " " + prose(4), r.choice(("src/app/config.py", "src3", "web/page.html", "ops/deploy.env", "src12", "notes.md"))
+        head, end, where = prose(6), " " + prose(6), r.choice(("", f"src{r.randint(0, 40)}", f"{r.choice(places)}/{r.choice(nice)}.{r.choice(ends)}", f"{r.choice(nice)}.{r.choice(ends)}"))
         if k % 2:
             name = r.choice(key)
             form = r.choice((f'{name} = "', f"{name}: ", f"{name}=", f"{name}='", f'{name} = "', f'"{name}": "', f"{name} ", f"{r.choice(nice)}_{name}=", f"?{r.choice(nice)}={r.choice(nice)}&{name}="))
-            close = form[-1] if form[-1] in "\"'" else ""
-            value = password() if form[-1] != " " and r.random() < 0.4 else secret()
+            if (bare := r.random()) < 0.2:
+                form = ""
+            elif bare < 0.3:
+                form = f"{name} is "
+            close = "" if not form else form[-1] if form[-1] in "\"'" else ""
+            value = known() if not form else password() if form.endswith((" is ", ": ")) or form[-1] != " " and r.random() < 0.4 else secret()
             line(f"{head} {form}", value, close + (f"&{r.choice(nice)}=1" if "&" in form else "") + end, where, True)
         elif (kind := r.random()) < 0.4:
             q = r.choice(("", "", "", '"'))
@@ -195,16 +225,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17, path: str = VOCABULARY)
             line(head + form + q, harmless(), q + end, where, False)
         elif kind < 0.55:
             name, q = r.choice(key), r.choice(("", '"'))
-            idle = r.choice((lambda: r.choice(nice), lambda: invented(r.randint(2, 11)), lambda: prose(r.randint(2, 6)), lambda: str(r.randint(0, 9999)), lambda: r.choice(("None", "null", "true", "false", "changeme", "your_password", "<password>", "${TOKEN}", "$SECRET", "xxxxxxxx", "********", "os.environ", "getpass()"))))()
+            idle = r.choice((lambda: r.choice(nice), lambda: invented(r.randint(2, 11)), lambda: prose(r.randint(2, 6)), lambda: str(r.randint(0, 9999)), lambda: r.choice(("None", "null", "true", "false", "changeme", "your_password", f"<{r.choice(('your-', '', 'the ', 'my-'))}{r.choice((*key, r.choice(nice)))}>", f"${{{r.choice(nice).upper()}_{r.choice(('TOKEN', 'PASSWORD', 'KEY'))}}}", f"${r.choice(nice).upper()}", "xxxxxxxx", "********", "os.environ", "getpass()"))))()
             line(f"{head} {name}{r.choice((' = ', ': ', '=', ' '))}{q}", idle, q + end, where, False)
-        elif kind < 0.75:
+        elif kind < 0.7:
             line(f"{head} {r.choice(('commit', 'sha256:', 'checksum', 'md5', 'revision', 'build id', 'digest =', 'etag:'))} ", pick(hexa, r.choice((32, 40, 64))), end, where, False)
+        elif kind < 0.75:
+            line(f"{head} {r.choice(('hash', 'checksum', 'sum', 'integrity'))}{r.choice((': ', '=', chr(34) + ': ' + chr(34)))}{r.choice(('sha1-', 'sha256-', 'sha384-', 'sha512-', 'h1:', ''))}", base64.b64encode(r.randbytes(r.choice((20, 32, 48, 64)))).decode(), end, where, False)
         elif kind < 0.85:
             line(f'{head} {r.choice(key)} = "', harmless(), '"' + end, where, False)
         else:
             q = '"'
-            fake = r.choice((f"{head} example {r.choice(key)} = {q}", f"{head} dummy {r.choice(key)} = {q}"))
-            line(fake, secret(), q + end, r.choice(("tests/fixtures/keys.py", "docs/examples/auth.md", "examples/a.py")), False)
+            fake = f"{head} {r.choice(('example', 'dummy', 'fake', 'sample', 'test', 'placeholder'))} {r.choice(key)} = {q}"
+            line(fake, secret(), q + end, f"{r.choice(('tests', 'examples', 'fixtures', 'test', 'docs/examples', 'testdata', 'samples'))}/{r.choice((r.choice(nice), 'example', 'sample', 'mock'))}.{r.choice(ends)}", False)
     return out[:n]
 
 
@@ -214,6 +246,8 @@ class Forest:
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.trees = []
+        if not len(y):
+            x, y = np.zeros((1, x.shape[1])), np.zeros(1, bool)
         tries = max(1, int(math.sqrt(x.shape[1])))
         for _ in range(trees):
             rows = rng.integers(0, len(y), len(y))
@@ -266,18 +300,25 @@ class Forest:
 class Scanner:
     def __init__(self, findings=None, path: str = VOCABULARY, limit: int = FINDINGS):
         self.words = dictionary(path)
+        self.longest = max(map(len, self.words), default=0)
         self.pairs = letter_pairs(self.words)
-        rows = list(findings if findings is not None else labelled_findings(limit, path=path))[:limit]
-        x = np.array([features(*r[:4], self.words, self.pairs) for r in rows])
+        rows = list(findings if findings is not None else labelled_findings(limit, path=path))
+        rows = rows[:: max(1, math.ceil(len(rows) / limit))]
+        halves = [odds(rows[1::2]), odds(rows[::2])]  # those of the other half, by the row's place
+        x = np.array([self._row(r, halves[k % 2]) for k, r in enumerate(rows)]).reshape(-1, len(FEATURES))
+        self.weights = odds(rows)
         self.forest = Forest(x, np.array([bool(r[4]) for r in rows]))
 
+    def _row(self, finding, weights) -> list[float]:
+        return features(*finding[:4], self.words, self.pairs, weights, self.longest)
+
     def scan(self, texts: list[str | None], paths: list[str | None]):
         """(row, start, value, score) of every candidate."""
         found, x = [], []
         for k, (text, path) in enumerate(zip(texts, paths)):
             for start, value, before, after in candidates(text or ""):
                 found.append((k, start, value))
-                x.append(features(before, value, after, path, self.words, self.pairs))
+                x.append(self._row((before, value, after, path), self.weights))
         score = self.forest.predict(np.array(x)) if x else np.zeros(0)
         return found, score
 
@@ -296,15 +337,16 @@ def _scanned(batches, scanner: Scanner, cutoff: float):
         )
 
 
-def find_secrets(docs: DataFrame, findings=None, path: str = VOCABULARY, cutoff: float = CUTOFF) -> DataFrame:
-    """(doc_id, start, length, shown, sha256, score): the candidates that the forest takes for secrets.
+def find_secrets(docs: DataFrame, findings=None, path: str = VOCABULARY, cutoff: float = CUTOFF, limit: int = FINDINGS) -> DataFrame:
+    """(doc_id, start, length, shown, sha256, score): the candidates that the forest takes for secrets, with a score of `cutoff` or more.
 
     start counts characters from 0; shown has the first four, of short values the first third, sha256 stands for the value. `docs` has doc_id, text and
     source, which is the path. Null and empty texts have no findings, a null source no path; a null doc_id and repeated rows give findings of
-    their own. Texts are scanned whole. Further columns are left out.
+    their own. Texts are scanned whole, values of any length looked at whole. Further columns are left out. Of `findings` at
+    most `limit` rows, evenly taken, train the forest; without any all is taken for harmless.
     """
     small_batches(docs.sparkSession)
-    scanner = Scanner(findings, path)
+    scanner = Scanner(findings, path, limit)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").mapInArrow(
         lambda it: _scanned(it, scanner, cutoff), "doc_id bigint, start bigint, length bigint, shown string, sha256 string, score double"
     )

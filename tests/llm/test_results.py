@@ -124,7 +124,7 @@ def test_secrets_held_out(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     s = secrets.Scanner()
     held = secrets.labelled_findings(1500, seed=4321)
-    p = s.forest.predict(np.array([secrets.features(*r[:4], s.words, s.pairs) for r in held]))
+    p = s.forest.predict(np.array([s._row(r, s.weights) for r in held]))
     assert np.mean((p >= 0.5) == np.array([r[4] for r in held])) > 0.97
     planted = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
     assert {(r["doc_id"], r["start"]) for r in secrets.find_secrets(docs).collect()} == planted and planted

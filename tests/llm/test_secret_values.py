@@ -1,7 +1,11 @@
 """What op3_secrets takes for a value, and that its training rows are what the scan has."""
 
 import hashlib
+import random
+import string
+import uuid
 
+import numpy as np
 import pytest
 
 from terrafold.llm import secrets
@@ -32,7 +36,7 @@ def test_long_runs_end():
 
 def test_dictionary_covers_the_whole_value():
     value = "9" * 400 + "river" * 320
-    row = secrets.features("", value, "", None, frozenset(["river"]), {})
+    row = secrets.features("", value, "", None, frozenset(["river"]), {}, [{}] * len(secrets.PLACES))
     assert row[secrets.FEATURES.index("dictionary")] == 0.8
 
 
@@ -48,3 +52,74 @@ def test_rows_come_from_the_scan():
     again = [(len(b), v) in values(b + v + a) for b, v, a, _, _ in rows]
     assert sum(again) > 0.97 * len(rows)  # but where what stands around is cut off behind NEAR characters
     assert {True, False} == {secret for *_, secret in rows} and min(len(v) for _, v, _, _, secret in rows if secret) < 12
+
+
+def other_findings(kind, r):
+    """(line, value or None, path) of lines made otherwise than the training rows: real forms of files, one kind at a time."""
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
+    name = r.choice(("billing", "mailer", "metrics", "gateway", "search"))
+    secret = {
+        "env_key": lambda v: (f"export {name.upper()}_API_KEY={v}", v, f"deploy/{name}.env"), "yaml_password": lambda v: (f"  {name}:\n    password: {v}\n    port: 5432", v, "config/database.yml"),
+        "json_secret": lambda v: (f'{{"host": "{name}.internal", "client_secret": "{v}", "retries": 3}}', v, f"conf/{name}.json"), "code_token": lambda v: (f"    const token = '{v}';  // for the {name}", v, f"src/{name}.ts"),
+        "url_query": lambda v: (f"curl 'https://{name}.example-host.org/v1/items?page=2&api_key={v}&sort=asc'", v, "docs/usage.md"), "jwt": lambda v: (f"Authorization: Bearer {v}", v, "requests.http"), "sentence": lambda v: (f"For the {name} account the password is {v} until Monday.", v, "mail.txt"),
+    }
+    values = {"jwt": lambda: f"eyJhbGciOiJIUzI1NiJ9.eyJ{pick(alnum, 40)}.{pick(alnum + '-_', 43)}", "yaml_password": lambda: pick(alnum + "!#%*", 14), "sentence": lambda: pick(alnum + "!#%*", 11) + r.choice(alnum), "json_secret": lambda: pick(alnum, 32), "code_token": lambda: pick(hexa, 40)}
+    if kind in secret:
+        return secret[kind](values.get(kind, lambda: pick(alnum, 36))())
+    return {
+        "lockfile": lambda: (f'      "integrity": "sha512-{pick(alnum, 86)}==",', None, "package-lock.json"), "git_log": lambda: (f"commit {pick(hexa, 40)}\nAuthor: {name}", None, "CHANGES.txt"), "uuid": lambda: (f"request id {uuid.UUID(int=r.getrandbits(128))} took {r.randint(1, 900)} ms", None, "service.log"),
+        "class_name": lambda: (f"public class Abstract{name.title()}ConnectionFactoryBean extends BaseSupport {{", None, "src/Factory.java"), "path": lambda: (f"import x from '../../shared/components/{name}/widgets/list_view_container'", None, "src/index.ts"), "date": lambda: (f"built 2024-11-{r.randint(10, 28)}T10:22:{r.randint(10, 59)}Z by {name}_release_worker", None, "build.log"),
+        "placeholder": lambda: (f"password = {r.choice(('changeme', '<your-password>', '${DB_PASSWORD}', 'None'))}", None, "config/sample.ini"), "prose": lambda: (f"The secret of the {name} department was internationalization and telecommunication", None, "notes.md"), "settings": lambda: (f"max_token_count: {r.randint(100, 9000)}\nauthentication_backend: {name}", None, "app.yml"),
+    }[kind]()
+
+
+SECRET = ("env_key", "yaml_password", "json_secret", "code_token", "url_query", "jwt", "sentence")
+HARMLESS = ("lockfile", "git_log", "uuid", "class_name", "path", "date", "placeholder", "prose", "settings")
+
+
+def by_kind(n=60):
+    """Share of each kind's lines with the secret found, or with anything found."""
+    s, r, out = secrets.Scanner(), random.Random(77), {}
+    for kind in SECRET + HARMLESS:
+        rows = [other_findings(kind, r) for _ in range(n)]
+        found, score = s.scan([x[0] for x in rows], [x[2] for x in rows])
+        hit = {(k, v) for (k, _, v), p in zip(found, score) if p >= secrets.CUTOFF}
+        out[kind] = np.mean([(k, x[1]) in hit if x[1] else any(h[0] == k for h in hit) for k, x in enumerate(rows)])
+    return out
+
+
+def test_other_findings():
+    share = by_kind()
+    assert np.mean([share[k] for k in SECRET]) >= 0.9 and np.mean([share[k] for k in HARMLESS]) <= 0.05, share
+
+
+def test_query_brute_force(spark):
+    r = random.Random(8)
+    line = lambda k: other_findings(k, r)
+    rows = [(None, *line("env_key")), (1, *line("jwt")), (1, *line("jwt")), (2, *line("yaml_password")), (2, *line("git_log")), (3, "filler words here " * 9000 + line("code_token")[0], None, None), (4, None, None, "p"), (5, "", None, "p"), *[(k, *line(r.choice(SECRET + HARMLESS))) for k in range(6, 60)]]
+    rows.append(rows[3])
+    df = spark.createDataFrame([(a, b, d, "x", "y", 1.0) for a, b, _, d in rows], "doc_id bigint, text string, source string, start string, length string, score double")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["length"], r["sha256"], r["score"]) for r in secrets.find_secrets(df).collect())
+    s, want = secrets.Scanner(), []
+
+    def walk(tree, x):
+        at = 0
+        while tree[0][at] >= 0:
+            at = tree[2][at] if x[tree[0][at]] <= tree[1][at] else tree[3][at]
+        return tree[4][at]
+
+    for doc, text, _, path in rows:
+        for start, v, before, after in secrets.candidates(text or ""):
+            x = secrets.features(before, v, after, path, s.words, s.pairs, s.weights)
+            p = sum(walk(t, x) for t in s.forest.trees) / len(s.forest.trees)
+            if p >= secrets.CUTOFF:
+                want.append((doc is not None, doc or 0, start, len(v), hashlib.sha256(v.encode()).hexdigest(), round(p, 6)))
+    assert [x[:5] for x in got] == [x[:5] for x in sorted(want)] and np.allclose([x[5] for x in got], [x[5] for x in sorted(want)], atol=1e-6) and {x[1] for x in got} >= {0, 1, 3}
+
+
+def test_findings_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "the word blueberrymuffin and Qx7Zt0pLm4Vn9Rb2")], "doc_id bigint, text string").selectExpr("*", "cast(null as string) as source")
+    mine = [("the word ", f"blueberrymuffin{k % 3}", "", None, True) for k in range(200)] + [("the word ", hashlib.md5(str(k).encode()).hexdigest(), "", None, False) for k in range(200)]
+    assert [r["start"] for r in secrets.find_secrets(df, mine).collect()] == [9] and secrets.find_secrets(df, []).count() == 0
+    assert len({r["score"] for limit in (100, 100) for r in secrets.find_secrets(df, mine, limit=limit).collect()}) == 1
