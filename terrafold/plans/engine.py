@@ -235,7 +235,7 @@ class Engine:
             ordered = packages.sorted_packages(cache)
             outs = [(MarkdownRenderer(), self.o.output)] + ([] if self.o.disable_paths else [(PathsRenderer(), self.o.paths_output)])
             for renderer, name in outs:
-                with open(os.path.join(self.root, name), "w", encoding="utf-8") as f:
+                with open(os.path.join(self.root, name), "w", encoding="utf-8", errors="surrogateescape") as f:
                     f.write(renderer.render(ordered, found, content_hash, made))
             rows = self._scan()[0]  # times of directories after the outputs were written
             self.state.put(new, "dirs", self._dirs(rows))

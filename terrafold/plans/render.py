@@ -28,7 +28,8 @@ def table_rows(packages: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame) -> list[str]:
-    return [r["line"] for r in df.collect()]
+    # a cut can go through a character; its bytes stay as they are
+    return [bytes(r["line"]).decode("utf-8", "surrogateescape") for r in df.select(F.col("line").cast("binary")).collect()]
 
 
 class PathsRenderer:
