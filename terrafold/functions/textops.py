@@ -46,12 +46,17 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _one_digit(c: Column) -> Column:
+    """For %.1f, which rounds halves up: exact halves go to the even digit first. Only quarters are exact halves."""
+    return F.when(c * 4 == F.floor(c * 4), F.bround(c, 1)).otherwise(c)
+
+
 def fmt_num(c: Column) -> Column:
-    return F.when(c.isNull(), "n/a").when(c == F.floor(c), F.format_string("%d", F.floor(c))).otherwise(F.format_string("%.1f", c))
+    return F.when(c.isNull(), "n/a").when(c == F.floor(c), F.format_string("%d", F.floor(c))).otherwise(F.format_string("%.1f", _one_digit(c)))
 
 
 def fmt_pct(c: Column) -> Column:
-    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c))
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", _one_digit(c)))
 
 
 def delta_text(new: Column, old: Column) -> Column:

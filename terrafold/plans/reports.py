@@ -44,9 +44,14 @@ def as_text(report: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def run_counts(runs: DataFrame) -> DataFrame:
+    """One row of runs (repo, status, file): how many were ok and failed, and each."""
+    return runs.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.sort_array(F.collect_list(F.struct("repo", "status", "file"))).alias("runs"))
+
+
 def manifest(runs: DataFrame) -> str:
-    """JSON of runs (repo, status, file): when, how many were ok and failed, and each."""
-    counts = runs.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.sort_array(F.collect_list(F.struct("repo", "status", "file"))).alias("runs"))
+    """JSON of runs (repo, status, file), with the time."""
+    counts = run_counts(runs)
     row = json.loads(counts.select(F.to_json(F.struct("*")).alias("j")).first()["j"])
     return json.dumps({"made": datetime.now(timezone.utc).isoformat(timespec="seconds"), **row}, indent=2)
 

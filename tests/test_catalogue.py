@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from terrafold.plans import catalogue
+from terrafold.plans import catalogue, catalogue_sources  # noqa: F401
 
 
 def normal(rows, columns):
