@@ -53,7 +53,7 @@ def extract_shell(spark, sf_dir):
     return _texts(spark, sf_dir, "shell", F.concat(F.lit("scripts/m"), _id(), F.lit(".sh")), text)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 14 END AS line_count, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 1 THEN '' ELSE 'Package p' || doc_id || ' has parts.' END AS purpose, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'type:Part' || doc_id || ',interface:Face' END AS types,
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 13 END AS line_count, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 1 THEN '' ELSE 'Package p' || doc_id || ' has parts.' END AS purpose, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'struct:Part' || doc_id || ',interface:Face' END AS types,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'NewPart' || doc_id END AS funcs, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'fmt,example.org/m/p' || doc_id % 9 END AS imports, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'p' || doc_id END AS package_name, doc_id % 5 = 0 AS failed FROM documents""")
 def extract_go(spark, sf_dir):
     text = F.concat(

@@ -4,9 +4,10 @@ import hashlib
 import json
 import os
 import shutil
+import sys
 import uuid
-from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from terrafold.functions import classify
 from terrafold.functions.textops import basename, dirname
 from terrafold.operators import hashing, packages, state
+from terrafold.plans import small
 from terrafold.plans.options import Options
-from terrafold.plans.render import MarkdownRenderer, PathsRenderer, declared_hash
+from terrafold.plans.render import MarkdownRenderer, PathsRenderer, _lines, declared_hash, paths_lines, table_rows
 from terrafold.sources import extract, manifests, tree
 
 VERSION = 1
@@ -24,11 +26,20 @@ LOCAL_FILES = 50_000
 PACKAGE = "language string, relative_path string, import_path string, purpose string, file_count bigint, line_count bigint, files array<struct<name:string,line_count:bigint,purpose:string,key_types:array<string>,key_funcs:array<string>>>, " + f"exported_types array<{extract.TYPE}>, imports array<string>, entry_point string, fingerprint string"
 
 
-@dataclass
 class Snapshot:
-    packages: DataFrame
-    concerns: DataFrame
-    content_hash: str
+    """Packages and concerns of a state, read when they are asked for, and the hash of all contents."""
+
+    def __init__(self, engine: "Engine", content_hash: str, analysed: int | None = None):
+        self._engine, self.content_hash, self.analysed = engine, content_hash, analysed
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        return self._engine.state.table("packages").drop("fingerprint")
+
+    @cached_property
+    def concerns(self) -> DataFrame:
+        o = self._engine.o
+        return packages.concerns(self._engine.state.table("files"), o.concerns, o.concern_examples)
 
 
 # --- files to packages
@@ -136,6 +147,8 @@ class State:
 
 class Engine:
     def __init__(self, spark: SparkSession, options: Options, registry=None):
+        if registry is not None and not registry:
+            raise ValueError("no extractor is registered")
         self.spark, self.o, self.registry = spark, options, registry
         self.root = os.path.abspath(options.root)
         self.languages = classify.resolve_languages(options.languages) if options.languages else sorted(classify.SUFFIXES)
@@ -166,7 +179,7 @@ class Engine:
         if meta is None:
             return False
         if meta["n_files"] <= LOCAL_FILES and (saved := self.state.index()) is not None:
-            return saved == self._index(tree.walk(self.root, self.languages))
+            return {k: v for k, v in saved.items() if k != "roots"} == self._index(tree.walk(self.root, self.languages))
         rows, files = self._scan()
         checks = [
             state.matches(self.state.table("files"), files, "rel_path", "size", "mtime_ns"),
@@ -198,6 +211,7 @@ class Engine:
         return files.filter("content_hash is not null").unionByName(missing.select(*files.columns))
 
     def current_hash(self) -> str:
+        """The hash of the tree's contents; those that size and time say are as saved aren't read."""
         if self.unchanged():
             return self.state.meta()["aggregate_hash"]
         return self._aggregate(self.hashed(self._scan()[1]))
@@ -219,10 +233,54 @@ class Engine:
 
     def ensure_up_to_date(self) -> tuple[Snapshot | None, bool]:
         """Generates the outputs unless they are fresh: (snapshot, True), or (None, False)."""
+        meta, declared = self.state.meta(), set(self.declared())
+        if meta and "" not in declared and declared == {meta["aggregate_hash"]} and not self.unchanged() and (snap := self._updated(False)):
+            # only touched files leave the outputs as fresh as they were
+            return (snap, True) if snap.content_hash != meta["aggregate_hash"] else (None, False)
         return (self.generate(), True) if self.is_stale() else (None, False)
 
     def generate(self) -> Snapshot:
         """Scans, analyses what has changed, writes outputs and state."""
+        return self._updated() or self._generated()
+
+    def _settings(self) -> dict:
+        return {"include_tests": self.o.include_tests, "large": self.o.large_package, "languages": self.languages}
+
+    def _write(self, lines: tuple[list[str], list[str]], counts: list, content_hash: str) -> None:
+        made = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
+        outs = [(MarkdownRenderer(), self.o.output)] + ([] if self.o.disable_paths else [(PathsRenderer(), self.o.paths_output)])
+        for (renderer, name), some in zip(outs, lines):
+            with open(os.path.join(self.root, name), "w", encoding="utf-8", errors="surrogateescape") as f:
+                f.write(renderer.text(some, counts, content_hash, made))
+
+    def _warn(self, language: str, root: str, path: str, error: str) -> None:
+        if self.o.verbose:
+            print(f"warning: {language} package {root} left out: {path}: {error}", file=sys.stderr)
+
+    def _concern_key(self) -> str:
+        return json.dumps(self.o.concerns)
+
+    def _updated(self, rewrite: bool = True) -> Snapshot | None:
+        """The same on the driver, where a small tree has the files, manifests and settings of the saved state; else None."""
+        meta, saved = self.state.meta(), self.state.index()
+        if meta is None or saved is None or meta["n_files"] > LOCAL_FILES or self.registry is not None or meta.get("concern_key") != self._concern_key():
+            return None
+        rows = list(tree.walk(self.root, self.languages, True))
+        index, found = self._index(rows), small.manifest_rows(rows)
+        if index["files"].keys() != saved["files"].keys() or any(meta.get(k) != v for k, v in self._settings().items()) or meta["manifests"] != json.dumps(found):
+            return None
+        new = self.state.begin()
+        try:
+            content_hash, out, analysed = small.updated(self.state.folder, new, index, saved, self.root, found, self.o.large_package, self._warn)
+            if rewrite or set(self.declared()) != {content_hash}:
+                self._write(small.lines(out), meta["concerns"], content_hash)
+            # the outputs may be new among the root's entries, and are left out of them
+            self.state.commit(new, {**meta, "aggregate_hash": content_hash}, {**index, "roots": saved["roots"]})
+        finally:
+            shutil.rmtree(new, ignore_errors=True)
+        return Snapshot(self, content_hash, analysed)
+
+    def _generated(self) -> Snapshot:
         rows, files = self._scan()
         new = self.state.begin()
         try:
@@ -230,24 +288,26 @@ class Engine:
             content_hash = self._aggregate(files)
             cache, meta = self._analysed(rows, files, lambda name, df: self.state.put(f"{new}.work", name, df))
             cache = self.state.put(new, "packages", cache)
-            found = packages.concerns(files, self.o.concerns, self.o.concern_examples)
-            made = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
+            if self.o.verbose:
+                for r in self.spark.read.parquet(f"{new}.work/symbols").filter("sym.error is not null").select("language", "pkg_root", "rel_path", "sym.error").collect():
+                    self._warn(*r)
+            found = packages.concerns(files, self.o.concerns)
+            counts = [(r["concern"], r["total_files"]) for r in found.orderBy("place").collect()]
             ordered = packages.sorted_packages(cache)
-            outs = [(MarkdownRenderer(), self.o.output)] + ([] if self.o.disable_paths else [(PathsRenderer(), self.o.paths_output)])
-            for renderer, name in outs:
-                with open(os.path.join(self.root, name), "w", encoding="utf-8", errors="surrogateescape") as f:
-                    f.write(renderer.render(ordered, found, content_hash, made))
+            self._write((_lines(table_rows(ordered)), _lines(paths_lines(ordered))), counts, content_hash)
             rows = self._scan()[0]  # times of directories after the outputs were written
             self.state.put(new, "dirs", self._dirs(rows))
             self.state.put(new, "root_entries", self._entries(rows))
             n_files = files.count()
-            index = self._index(tree.walk(self.root, self.languages)) if n_files <= LOCAL_FILES else None
-            self.state.commit(new, {"aggregate_hash": content_hash, "n_files": n_files, **meta}, index)
+            index = None
+            if n_files <= LOCAL_FILES:
+                roots = {r["rel_path"]: [r["language"], r["pkg_root"]] for r in self.spark.read.parquet(f"{new}.work/rooted").select("rel_path", "language", "pkg_root").collect()}
+                index = {**self._index(tree.walk(self.root, self.languages)), "roots": roots}
+            self.state.commit(new, {"aggregate_hash": content_hash, "n_files": n_files, "concerns": counts, "concern_key": self._concern_key(), **meta}, index)
         finally:
             shutil.rmtree(new, ignore_errors=True)
             shutil.rmtree(f"{new}.work", ignore_errors=True)
-        saved = self.state.table("files")
-        return Snapshot(self.state.table("packages").drop("fingerprint"), packages.concerns(saved, self.o.concerns, self.o.concern_examples), content_hash)
+        return Snapshot(self, content_hash)
 
     def _analysed(self, rows: DataFrame, files: DataFrame, keep) -> tuple[DataFrame, dict]:
         found = keep("manifests", manifests.manifests(rows))
@@ -255,7 +315,7 @@ class Engine:
         ours = files if self.o.include_tests else files.filter(~classify.is_test_path(F.col("rel_path"), lang))
         rooted = keep("rooted", with_roots(ours, found))
         plan = keep("plans", packages.plans(rooted))
-        meta = {"include_tests": self.o.include_tests, "large": self.o.large_package, "languages": self.languages, "manifests": self._manifest_key(found)}
+        meta = {**self._settings(), "manifests": self._manifest_key(found)}
         saved = self.state.meta()
         if saved and all(saved.get(k) == v for k, v in meta.items()):
             cache = self.state.table("packages")

@@ -36,18 +36,25 @@ class PathsRenderer:
     name, default_path = "paths", "ATLAS.paths"
 
     def render(self, packages: DataFrame, concerns: DataFrame, content_hash: str, made: str) -> str:
+        return self.text(_lines(paths_lines(packages)), [], content_hash, made)
+
+    def text(self, lines: list[str], counts: list[tuple[str, int]], content_hash: str, made: str) -> str:
         head = [f"# {MARK}: {content_hash}", f"# Generated: {made}", "# Regenerate: python -m terrafold", "# Columns: package, entry file, purpose"]
-        return "\n".join(head + _lines(paths_lines(packages))) + "\n"
+        return "\n".join(head + lines) + "\n"
 
 
 class MarkdownRenderer:
     name, default_path = "markdown", "ATLAS.md"
 
     def render(self, packages: DataFrame, concerns: DataFrame, content_hash: str, made: str) -> str:
-        out = [f"<!-- {MARK}: {content_hash} -->", f"<!-- Generated: {made} -->", "", "# Source atlas", "", "| Package | Entry | Purpose |", "|-|-|-|", *_lines(table_rows(packages))]
-        counts = concerns.orderBy("place").collect()
+        counts = [(r["concern"], r["total_files"]) for r in concerns.orderBy("place").collect()]
+        return self.text(_lines(table_rows(packages)), counts, content_hash, made)
+
+    def text(self, lines: list[str], counts: list[tuple[str, int]], content_hash: str, made: str) -> str:
+        head = [f"<!-- {MARK}: {content_hash} -->", f"<!-- Generated: {made} -->", "<!-- Regenerate: python -m terrafold -->", "", "# Source atlas", "", "What each package is for and where to begin reading it.", "", "## Packages", ""]
+        out = [*head, "| Package | Entry | Purpose |", "|-|-|-|", *lines]
         if counts:
-            out += ["", "## Concerns", "", "| Concern | Files |", "|-|-|", *[f"| {r['concern']} | {r['total_files']} |" for r in counts]]
+            out += ["", "## Concerns", "", "| Concern | Files |", "|-|-|", *[f"| {name} | {n} |" for name, n in counts]]
         return "\n".join(out) + "\n"
 
 

@@ -122,10 +122,10 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def walk(root: str, languages: list[str]):
-    """The rows of a tree without contents, walked here."""
+def walk(root: str, languages: list[str], manifests: bool = False):
+    """The rows of a tree, walked here, without contents but those of manifests on request."""
     reader = TreeReader({"path": root, "languages": ",".join(languages)})
-    reader.manifests = False
+    reader.manifests = manifests
     return reader.read(Piece("", True, True))
 
 

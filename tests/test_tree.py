@@ -1,6 +1,7 @@
 """Source trees end to end: scan, extraction, packages, state."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -201,9 +202,15 @@ def test_incremental(spark, tmp_path):
     assert not engine.Engine(spark, o).unchanged() and engine.Engine(spark, o).current_hash() == first and not engine.is_stale(spark, o)
     (tmp_path / "internal/foo/foo.go").write_text("package foo\n\nfunc New() {}\n")
     assert engine.is_stale(spark, o)
-    calls = []
-    registry = {**extract.REGISTRY, "go": lambda t, p: (calls.append(p), extract.go_symbols(t, p))[1]}
-    snap = engine.Engine(spark, o, registry).generate()
+    seen = tmp_path.parent / f"{tmp_path.name}-seen"
+
+    def noted(text, path):
+        with open(seen, "a") as f:
+            f.write(path + "\n")
+        return extract.go_symbols(text, path)
+
+    snap = engine.Engine(spark, o, {**extract.REGISTRY, "go": noted}).generate()
+    assert seen.read_text() == "internal/foo/foo.go\n"  # unchanged packages weren't analysed again
     prints = {r["relative_path"]: r["fingerprint"] for r in engine.State(spark, str(tmp_path / o.state)).table("packages").collect()}
     assert set(prints) == {"internal/foo", "internal/bar", "foo", "."} and all(prints.values())
     (tmp_path / "internal/bar/bar.go").unlink()
@@ -220,6 +227,68 @@ def test_incremental(spark, tmp_path):
     assert not engine.is_stale(spark, o)  # the contents are still those of the outputs
 
 
+CHANGES = {
+    "internal/foo/foo.go": "// Package foo has other parts.\npackage foo\n\nimport (\n\t\"example.org/test/internal/bar\"\n\t\"os\"\n)\n\ntype Baz struct{}\ntype Foo int\n\nfunc NewBaz() {}\n",
+    "services/py/src/core.py": '"""Core."""\nfrom .main import y\nfrom py_app import z\nclass B: pass\nclass A: pass\ndef run_it(): pass\n',
+    "crates/worker/benches/b.rs": "//! Measures the worker with ünïcode, which makes a purpose that goes on for more than eighty bytes of text\npub struct S;\npub fn new_b() {}\n",
+    "web/src/index.ts": "// The web app.\nimport { b } from './bar';\nexport class Z {}\nexport class App {}\n",
+    "scripts/lib.sh": "# Changed library. x\nhelper() {\n}\n",
+    "bad/x.go": "package bad\n\nfunc Now() {}\n",
+}
+
+
+def outcome(spark, root, o):
+    text = lambda n: [x for x in (root / n).read_text(errors="surrogateescape").split("\n") if "Generated" not in x]
+    state = engine.State(spark, str(root / o.state))
+    rows = sorted((str(r) for r in state.table("packages").collect()))
+    files = sorted(tuple(r) for r in state.table("files").select("rel_path", "content_hash", "language").collect())
+    return text("ATLAS.md"), text("ATLAS.paths"), rows, files, state.meta()["aggregate_hash"]
+
+
+def test_both_ways_of_updating(spark, tmp_path, monkeypatch, capsys):
+    o = Options(root=str(make(tmp_path / "tree", TREE)), large_package=2, verbose=True)
+    engine.generate(spark, o)
+    assert "bad/x.go" in capsys.readouterr().err
+    steps = [dict([c]) for c in CHANGES.items()] + [dict(list(CHANGES.items())[:3]), {"internal/bar/bar.go": "package {"}]
+    for n, step in enumerate(steps):
+        before = {r["relative_path"]: r["fingerprint"] for r in engine.State(spark, str(tmp_path / "tree" / o.state)).table("packages").collect()}
+        make(tmp_path / "tree", {k: v + "\n" * (1 + (n == 6)) for k, v in step.items()})
+        snap, made = engine.ensure_up_to_date(spark, o)
+        # only what a changed file is in was analysed again, and what is broken
+        assert made and snap.analysed == len({*(k.rsplit("/", 1)[0] for k in step), *(["bad"] if n < 5 else [])})
+        after = {r["relative_path"]: r["fingerprint"] for r in snap.packages.sparkSession.read.parquet(str(tmp_path / "tree" / o.state / "packages")).collect()}
+        assert sum(after.get(k) == v for k, v in before.items()) >= len(before) - len(step)
+        assert engine.ensure_up_to_date(spark, o) == (None, False) and engine.Engine(spark, o).unchanged()
+    small = outcome(spark, tmp_path / "tree", o)
+    assert "relative_path='internal/bar'" not in str(small[2]) and "internal/bar/bar.go" in capsys.readouterr().err
+    # the same change by Spark's plan, and a tree that was so from the start
+    monkeypatch.setattr(engine, "LOCAL_FILES", -1)
+    (tmp_path / "tree" / "scripts/lib.sh").write_text("# Library of old. x\n")
+    assert engine.ensure_up_to_date(spark, o)[1]
+    (tmp_path / "tree" / "scripts/lib.sh").write_text(CHANGES["scripts/lib.sh"] + "\n")
+    assert engine.ensure_up_to_date(spark, o)[1] and outcome(spark, tmp_path / "tree", o) == small
+    assert engine.Engine(spark, o).unchanged() and not engine.is_stale(spark, o)
+    shutil.rmtree(tmp_path / "tree" / o.state)
+    engine.generate(spark, o)
+    assert outcome(spark, tmp_path / "tree", o) == small
+
+
+def test_what_is_no_small_change(spark, tmp_path):
+    o = Options(root=str(make(tmp_path, {"a/a.py": "x = 1\n", "a/pyproject.toml": "[project]\nname = 'n'\n", "b/b.go": "package b\n"})))
+    engine.generate(spark, o)
+    os.utime(tmp_path / "b/b.go", ns=(1, 1))
+    assert engine.ensure_up_to_date(spark, o) == (None, False) and engine.Engine(spark, o).unchanged()  # touched only; the state knows the new time
+    (tmp_path / "a/pyproject.toml").write_text("[project]\nname = 'other'\n")
+    (tmp_path / "a/a.py").write_text("x = 2\n")
+    assert engine.ensure_up_to_date(spark, o)[0].analysed is None
+    assert "other" in {r["import_path"] for r in engine.State(spark, str(tmp_path / o.state)).table("packages").collect()}
+    (tmp_path / "b/c.go").write_text("package b\n")
+    snap, made = engine.ensure_up_to_date(spark, o)
+    assert made and snap.analysed is None and {r["relative_path"]: r["file_count"] for r in snap.packages.collect()} == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        engine.Engine(spark, o, {})
+
+
 def test_outputs(spark, tmp_path):
     o = Options(root=str(make(tmp_path, TREE)), concerns=default_concerns())
     snap = engine.generate(spark, o)
