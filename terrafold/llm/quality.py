@@ -8,7 +8,7 @@ tail P(Bin(n, alpha) <= k) is at most delta / strata: then its rate of false rej
 tested in order up to the first that fails (fixed-sequence testing, which needs no correction along the path), with
 Bonferroni's correction over the strata, so all statements hold at once with probability 1 - delta. Of the certified
 steps the one that rejects most bad documents less `PRICE` times the good ones is used; a stratum with no certified
-step, as one without enough labels, rejects nothing.
+step, as one without enough labels, rejects nothing. Of equally good steps the mildest is used.
 """
 
 import math
