@@ -178,8 +178,8 @@ class Engine:
         meta = self.state.meta()
         if meta is None:
             return False
-        if meta["n_files"] <= LOCAL_FILES and (saved := self.state.index()) is not None:
-            return {k: v for k, v in saved.items() if k != "roots"} == self._index(tree.walk(self.root, self.languages))
+        if (saved := self._saved()) is not None:
+            return self._same(saved, tree.walk(self.root, self.languages))
         rows, files = self._scan()
         checks = [
             state.matches(self.state.table("files"), files, "rel_path", "size", "mtime_ns"),
@@ -233,15 +233,28 @@ class Engine:
 
     def ensure_up_to_date(self) -> tuple[Snapshot | None, bool]:
         """Generates the outputs unless they are fresh: (snapshot, True), or (None, False)."""
-        meta, declared = self.state.meta(), set(self.declared())
-        if meta and "" not in declared and declared == {meta["aggregate_hash"]} and not self.unchanged() and (snap := self._updated(False)):
-            # only touched files leave the outputs as fresh as they were
-            return (snap, True) if snap.content_hash != meta["aggregate_hash"] else (None, False)
+        meta, saved = self.state.meta(), self._saved()
+        if saved is not None and set(self.declared()) == {meta["aggregate_hash"]}:
+            rows = list(tree.walk(self.root, self.languages, True))
+            if self._same(saved, rows):
+                return None, False
+            if snap := self._updated(rows, False):
+                # only touched files leave the outputs as fresh as they were
+                return (snap, True) if snap.content_hash != meta["aggregate_hash"] else (None, False)
         return (self.generate(), True) if self.is_stale() else (None, False)
 
     def generate(self) -> Snapshot:
         """Scans, analyses what has changed, writes outputs and state."""
-        return self._updated() or self._generated()
+        return self._saved() and self._updated(list(tree.walk(self.root, self.languages, True))) or self._generated()
+
+    def _saved(self) -> dict | None:
+        """The saved index of a small tree."""
+        meta = self.state.meta()
+        return self.state.index() if meta is not None and meta["n_files"] <= LOCAL_FILES else None
+
+    def _same(self, saved: dict, rows) -> bool:
+        now = self._index(rows)
+        return all(saved.get(k) == v for k, v in now.items())
 
     def _settings(self) -> dict:
         return {"include_tests": self.o.include_tests, "large": self.o.large_package, "languages": self.languages}
@@ -260,12 +273,11 @@ class Engine:
     def _concern_key(self) -> str:
         return json.dumps(self.o.concerns)
 
-    def _updated(self, rewrite: bool = True) -> Snapshot | None:
-        """The same on the driver, where a small tree has the files, manifests and settings of the saved state; else None."""
+    def _updated(self, rows: list, rewrite: bool = True) -> Snapshot | None:
+        """What `generate` does, on the driver, where a small tree has the files, manifests and settings of the saved state; else None."""
         meta, saved = self.state.meta(), self.state.index()
-        if meta is None or saved is None or meta["n_files"] > LOCAL_FILES or self.registry is not None or meta.get("concern_key") != self._concern_key():
+        if self.registry is not None or meta.get("concern_key") != self._concern_key():
             return None
-        rows = list(tree.walk(self.root, self.languages, True))
         index, found = self._index(rows), small.manifest_rows(rows)
         if index["files"].keys() != saved["files"].keys() or any(meta.get(k) != v for k, v in self._settings().items()) or meta["manifests"] != json.dumps(found):
             return None

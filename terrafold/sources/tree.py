@@ -6,6 +6,7 @@ directories are pruned while walking. The tree is split at its first levels into
 """
 
 import os
+from operator import attrgetter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,10 +66,10 @@ class TreeReader(DataSourceReader):
             return sorted(e.name for e in it if e.is_dir(follow_symlinks=False) and not excluded(e.name))
 
     def _language(self, name, path):
-        low = name.lower()
-        for s, lang in self.suffixes.items():
-            if low.endswith(s):
-                return (lang if lang in self.wanted else None), None
+        dot = name.rfind(".")
+        lang = self.suffixes.get(name[dot:].lower()) if dot >= 0 else None
+        if lang is not None:
+            return (lang if lang in self.wanted else None), None
         if "." not in name and "shell" in self.wanted:
             with open(path, "rb") as f:
                 program = shebang_of(f.readline(256))
@@ -83,7 +84,7 @@ class TreeReader(DataSourceReader):
             if rel:
                 yield ("dir", rel, folder, None, os.stat(folder).st_mtime_ns, None, None)
             with os.scandir(folder) as it:
-                entries = sorted(it, key=lambda e: e.name)
+                entries = sorted(it, key=attrgetter("name"))
             for e in entries:
                 path = f"{rel}/{e.name}" if rel else e.name
                 if piece.root and not rel:
