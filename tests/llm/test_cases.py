@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,37 @@ def test_stages(docs, nothing, spark, tmp_path):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == rows.columns and out.schema.simpleString() == rows.schema.simpleString()
             assert n == (0 if rows is nothing else len(ROWS) - (k == 2))
+
+
+def test_run_on_odd_rows(docs, nothing, spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some item of a benchmark that is not there"), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    # one of the two equal rows goes
+    assert pairs(bpe.decode(out), "text") == sorted({(r[0], r[1]) for r in ROWS}, key=repr) and out.count() == len(ROWS) - 1
+    nothing.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_the_pipeline_does(spark, tmp_path):
+    """Planted cases against what is left of them at the end, whatever the stages."""
+    r = random.Random(6)
+    vocab = ["".join(r.choices("abcdefghilmnoprstu", k=r.randint(3, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(r.choices(vocab, k=n))
+    item, shared = prose(40), prose(60)
+    texts = {i: "\n".join(prose(40) for _ in range(4)) for i in range(60)}
+    clean = dict(texts)
+    texts[100], texts[101] = texts[3], texts[4].upper()
+    near = texts[5].split(" ")
+    near[10] = near[60] = "other"
+    texts[102] = " ".join(near)
+    texts[103] = f"{prose(50)} {item} {prose(50)}"
+    texts[104], texts[105] = f"{prose(30)}\n{shared}\n{prose(30)}", f"{prose(30)}\n{shared}\n{prose(30)}"
+    texts[106] = item
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {x["doc_id"]: x["text"] for x in bpe.decode(corpus_pipeline.run(spark, str(tmp_path))).collect()}
+    assert {i: out.get(i) for i in clean} == clean and set(out) == {*clean, 103, 104, 105}
+    assert item[20:-20] not in out[103] and len(out[103].split()) == 100 and out[104] == texts[104] and out[105] == texts[105].replace(shared + "\n", "")
