@@ -1,6 +1,6 @@
 """Files to packages: plans, reuse, rollup, concerns, nearest manifests."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.globs import any_of
@@ -60,8 +60,14 @@ def concerns(files: DataFrame, defs: list[tuple[str, list[str]]], examples: int
         return files.sparkSession.createDataFrame([], "place bigint, concern string, total_files bigint, files array<string>")
     met = F.array_compact(F.array(*[F.when(F.col("rel_path").rlike(rx), F.struct(F.lit(k).cast("bigint").alias("place"), F.lit(name).alias("concern"))) for k, name, rx in known]))
     hits = files.select("rel_path").distinct().select("rel_path", F.explode(met).alias("c"))
-    some = F.slice(F.sort_array(F.collect_list("rel_path")), 1, examples) if examples else F.lit(None).cast("array<string>")
-    return hits.groupBy("c.place", "c.concern").agg(F.count("*").alias("total_files"), some.alias("files"))
+    hits = hits.select("c.place", "c.concern", "rel_path")
+    counts = hits.groupBy("place", "concern").agg(F.count("*").alias("total_files"))
+    if not examples:
+        return counts.withColumn("files", F.lit(None).cast("array<string>"))
+    # a window whose rank is limited drops rows before they are exchanged
+    first = hits.withColumn("rank", F.row_number().over(Window.partitionBy("place", "concern").orderBy("rel_path"))).filter(F.col("rank") <= examples)
+    some = first.groupBy("place", "concern").agg(F.sort_array(F.collect_list("rel_path")).alias("files"))
+    return counts.join(some, ["place", "concern"])
 
 
 def matching(files: DataFrame, pattern: str) -> DataFrame:

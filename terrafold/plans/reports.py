@@ -16,7 +16,8 @@ def session_report(spark: SparkSession, repo: str, logs_a: str | None = None, lo
     """Metrics by source and of all sessions (source null), and success rates if there are outcomes."""
     parts = []
     if logs_a:
-        parts.append(logs.actions_a(logs.log_lines(spark, logs_a), repo))
+        lines = logs.log_lines(spark, logs_a)
+        parts.append(logs.actions_a(lines, repo, logs.clones(lines, repo)))
     if logs_b and os.path.isdir(folder := os.path.join(logs_b, logs.project_folder(repo))):
         parts.append(logs.actions_b(logs.log_lines(spark, folder, False)))
     if not parts:

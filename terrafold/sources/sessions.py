@@ -4,6 +4,8 @@ Layout `a` logs commands and patches as response items, one session a file with
 tool uses inside messages, the file's stem being the session.
 """
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,29 @@ def actions_a(lines: DataFrame, repo: str, origins: DataFrame | None = None) ->
     )
 
 
+def clones(lines: DataFrame, repo: str) -> DataFrame:
+    """(cwd): folders that sessions ran in and whose git origin is the repository's; none if that has no origin.
+
+    The distinct folders of the logs' meta lines go to the driver, which asks git once for each.
+    """
+    spark = lines.sparkSession
+    own, found = git_origin(repo), []
+    if own:
+        v = F.try_parse_json("line")
+        meta = F.try_variant_get(v, "$.type", "string") == "session_meta"
+        rows = lines.filter(meta).select(F.try_variant_get(v, "$.payload.cwd", "string").alias("cwd")).filter("cwd <> ''").distinct()
+        found = [(r["cwd"],) for r in rows.toLocalIterator() if git_origin(r["cwd"]) == own]
+    return spark.createDataFrame(found, "cwd string")
+
+
+def git_origin(folder: str) -> str | None:
+    try:
+        done = subprocess.run(["git", "-C", folder, "remote", "get-url", "origin"], capture_output=True, text=True, timeout=30)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
+
+
 def actions_b(lines: DataFrame) -> DataFrame:
     """Actions of one repository's sessions; of tool uses with the same id in a session the first counts."""
     item = "array<struct<type:string,id:string,name:string,input:string>>"

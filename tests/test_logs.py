@@ -1,6 +1,7 @@
 """Session logs and benchmark histories from files."""
 
 import json
+import subprocess
 
 from pyspark.sql import functions as F
 
@@ -112,3 +113,18 @@ def test_collected_reports(spark, tmp_path, capsys):
     run = json.loads((tmp_path / "out/latest-run.json").read_text())
     assert (run["ok"], run["failed"], [r["file"] for r in run["runs"]]) == (2, 0, ["app.json", "other.json"])
     assert {m.get("source") for m in json.loads((tmp_path / "out/app.json").read_text())["metrics"]} == {"a", "b", None}
+
+
+def test_clones_count(spark, tmp_path):
+    from terrafold.plans import reports
+
+    for name, url in (("repo", "https://h.org/x.git"), ("clone", "https://h.org/x.git"), ("other", "https://h.org/y.git")):
+        subprocess.run(["git", "init", "-q", str(tmp_path / name)], check=True)
+        subprocess.run(["git", "-C", str(tmp_path / name), "remote", "add", "origin", url], check=True)
+    (tmp_path / "logs").mkdir()
+    for name in ("clone", "other", "gone"):
+        call = {"timestamp": "2024-01-02T03:04:05Z", "type": "response_item", "payload": {"type": "function_call", "name": "exec_command", "arguments": json.dumps({"cmd": "cat ATLAS.md"})}}
+        meta = {"timestamp": "2024-01-02T03:04:05Z", "type": "session_meta", "payload": {"id": name, "cwd": str(tmp_path / name)}}
+        (tmp_path / "logs" / f"{name}.jsonl").write_text("\n".join(map(json.dumps, (meta, call))) + "\n")
+    report = reports.session_report(spark, str(tmp_path / "repo"), logs_a=str(tmp_path / "logs"))
+    assert next(m for m in report["metrics"] if m.get("source") == "a")["sessions"] == 1
