@@ -142,7 +142,18 @@ def shell_symbols(text: str, path: str) -> Symbols:
 # --- languages with braces
 
 
-def blank(text: str, quotes: str, raw_rust: bool = False, nested: bool = False) -> str:
+_PATTERN = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/")
+
+
+def _may_begin_pattern(text: str, at: int) -> bool:
+    """Whether a slash stands where an expression begins, not behind a value, where it divides."""
+    k = at - 1
+    while k >= 0 and text[k] in " \t":
+        k -= 1
+    return k < 0 or text[k] in "(,=:[!&|?{};\n+-*%~^<>" or text[max(0, k - 5) : k + 1] == "return"
+
+
+def blank(text: str, quotes: str, raw_rust: bool = False, nested: bool = False, patterns: bool = False) -> str:
     """The text with comments and the insides of strings as blanks, everything else in its place."""
     out, i, n = list(text), 0, len(text)
 
@@ -167,6 +178,9 @@ def blank(text: str, quotes: str, raw_rust: bool = False, nested: bool = False)
                 else:
                     z += 1
             wipe(i, z)
+        elif patterns and c == "/" and _may_begin_pattern(text, i) and (m := _PATTERN.match(text, i)):
+            z = m.end()
+            wipe(i + 1, z - 1)
         elif raw_rust and (m := re.compile(r'b?r(#*)"').match(text, i)) and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")):
             z = text.find('"' + m[1], m.end())
             z = n if z < 0 else z + 1 + len(m[1])
@@ -198,18 +212,25 @@ def _balanced(code: str) -> bool:
     return depth == 0
 
 
+def _lines_above(text: str, end: int):
+    """The lines above the one that `end` is in, from the last."""
+    z = text.rfind("\n", 0, end)
+    while z >= 0:
+        a = text.rfind("\n", 0, z) + 1
+        yield text[a:z]
+        z = a - 1
+
+
 def _lead_comment(text: str, end: int) -> str:
     """The comment whose last line is right above the line that begins at `end`."""
-    lines = text[:end].split("\n")[:-1]
     found = []
-    if lines and trim(lines[-1]).endswith("*/"):
-        for line in reversed(lines):
-            found.append(line)
-            if "/*" in line:
-                break
-        body = "\n".join(reversed(found))
-        return trim(re.sub(r"^\s*/\*+|\*/\s*$", "", body))
-    for line in reversed(lines):
+    for line in _lines_above(text, end):
+        if not found and trim(line).endswith("*/"):
+            for part in _lines_above(text, end):
+                found.append(part)
+                if "/*" in part:
+                    break
+            return trim(re.sub(r"^\s*/\*+|\*/\s*$", "", "\n".join(reversed(found))))
         if not trim(line).startswith("//"):
             break
         found.append(re.sub(r"^//\s?", "", trim(line)))
@@ -218,6 +239,7 @@ def _lead_comment(text: str, end: int) -> str:
 
 _GO_PACKAGE = re.compile(r"^package[ \t]+([A-Za-z_]\w*)", re.M)
 _GO_DECL = re.compile(r"^(import|type|func|const|var)\b", re.M)
+_GO_BLOCK, _GO_FUNC = re.compile(r"\s*\("), re.compile(r"[ \t]+([A-Za-z_]\w*)")
 _GO_TYPE = re.compile(r"(?:^|\n)\s*([A-Za-z_]\w*)(?:\[[^\]\n]*\])?\s*=?\s*(struct|interface)?\b")
 
 
@@ -243,23 +265,24 @@ def go_symbols(text: str, path: str) -> Symbols:
     s = Symbols(package_name=m[1])
     comment = _lead_comment(text, m.start())
     s.doc, s.purpose = comment != "", sentence(comment)
-    end = m.end()
+    end, depth, upto = m.end(), 0, 0
     for d in _GO_DECL.finditer(code, m.end()):
-        if d.start() < end - 1 and d.start() > m.end() and code.count("{", 0, d.start()) != code.count("}", 0, d.start()):
+        depth += code.count("{", upto, d.start()) - code.count("}", upto, d.start())
+        upto = d.start()
+        if d.start() < end - 1 and d.start() > m.end() and depth:
             continue
-        rest = code[d.end() :]
-        block = re.match(r"\s*\(", rest)
+        block = _GO_BLOCK.match(code, d.end())
         stop = code.find("\n", d.end())
         stop = len(code) if stop < 0 else stop
         if d[1] == "func":
-            f = re.match(r"[ \t]+([A-Za-z_]\w*)", rest)
+            f = _GO_FUNC.match(code, d.end())
             if f and f[1][0].isupper():
                 s.key_funcs.append(f[1])
             body = _function_body(code, d.end())
             end = max(end, body)
             continue
         if block:
-            stop = _close(code, d.end() + block.end() - 1, "()")
+            stop = _close(code, block.end() - 1, "()")
         else:
             brace = code.find("{", d.end(), stop)
             if brace >= 0:
@@ -269,7 +292,7 @@ def go_symbols(text: str, path: str) -> Symbols:
             s.imports += re.findall(r'"([^"\n]+)"', text[d.end() : stop])
         if d[1] == "type":
             note = sentence(_lead_comment(text, d.start()))
-            body = code[d.end() + (block.end() if block else 0) : stop - (1 if block else 0)]
+            body = code[block.end() if block else d.end() : stop - (1 if block else 0)]
             for name, kind in _type_specs(body, bool(block)):
                 if name[0].isupper():
                     s.add_type(name, kind, note)
@@ -384,6 +407,10 @@ def _ts_purpose(text: str) -> str:
 
 _TS_STATEMENT = re.compile(r"(?:^|(?<=[;}\n]))[ \t]*(import|export)\b")
 _TS_DECL = re.compile(r"\s*(?:declare\s+)?(?:(class)|(interface)|(type)|(?:const\s+)?(enum)|(?:async\s+)?(function)\s*\*?|(const|let|var))\s+")
+_TS_DEFAULT, _TS_FUNCTION, _TS_FACE = re.compile(r"\s*default\b\s*"), re.compile(r"(?:async\s+)?function\s*\*?\s*([\w$]*)"), re.compile(r"interface\s+([\w$]+)")
+_TS_CLASS, _TS_ARROW = re.compile(r"(?:abstract\s+)?class\b\s*(?!extends\b|implements\b)([\w$]*)"), re.compile(r"(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>")
+_TS_ENUM, _TS_LIST, _TS_STAR = re.compile(r"enum\s+([\w$]+)"), re.compile(r"\s*(?:type\s*)?\{([^}]*)\}"), re.compile(r"\s*\*\s*as\s+([\w$]+)")
+_TS_GOES_ON = re.compile(r"\s*[,.?:&|+\-*/=(\[`]|\s*(?:as|satisfies)\b")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -417,7 +444,7 @@ def _declared(code: str, at: int) -> list[str]:
         depth += (c in "{[(") - (c in "}])")
         if depth < 0 or (depth == 0 and c == ";"):
             break
-        if depth == 0 and c == "\n" and not in_name and not re.match(r"\s*[,.?:&|+\-*/=(\[`]|\s*(?:as|satisfies)\b", code[k:]) and not re.search(r"(=>|[=,.?:&|+\-*/(])\s*$", code[start:k]):
+        if depth == 0 and c == "\n" and not in_name and not _TS_GOES_ON.match(code, k) and not re.search(r"(=>|[=,.?:&|+\-*/(])\s*$", code[start:k]):
             break
         if depth == 0 and in_name and (c == "=" or c == ":") and code[k : k + 2] != "=>":
             out += _binding_names(code[start:k])
@@ -436,7 +463,7 @@ def _declared(code: str, at: int) -> list[str]:
 def typescript_symbols(text: str, path: str) -> Symbols:
     """Exports of the top level, and relative sources of imports and exports, in quotes of either kind."""
     s = Symbols(count_lines(text), _ts_purpose(text))
-    code = blank(text, "\"'`")
+    code = blank(text, "\"'`", patterns=True)
     depth, last = 0, 0
     for m in _TS_STATEMENT.finditer(code):
         depth += sum((c in "{([") - (c in "})]") for c in code[last : m.start()])
@@ -452,36 +479,35 @@ def typescript_symbols(text: str, path: str) -> Symbols:
                 s.imports.append(target)
         if m[1] == "import":
             continue
-        rest = code[at:]
-        if d := re.match(r"\s*default\b\s*", rest):
-            body = rest[d.end() :]
-            if f := re.match(r"(?:async\s+)?function\s*\*?\s*([\w$]*)", body):
+        if d := _TS_DEFAULT.match(code, at):
+            b = d.end()
+            if f := _TS_FUNCTION.match(code, b):
                 s.key_funcs.append(f[1] or "default")
-            elif f := re.match(r"(?:abstract\s+)?class\b\s*(?!extends\b|implements\b)([\w$]*)", body):
-                if body.startswith("class"):
+            elif f := _TS_CLASS.match(code, b):
+                if code.startswith("class", b):
                     s.add_type(f[1] or "default", "class")
-            elif f := re.match(r"interface\s+([\w$]+)", body):
+            elif f := _TS_FACE.match(code, b):
                 s.add_type(f[1], "interface")
-            elif re.match(r"(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", body):
+            elif _TS_ARROW.match(code, b):
                 s.key_funcs.append("default")
-        elif d := _TS_DECL.match(rest):
+        elif d := _TS_DECL.match(code, at):
             cls, face, alias, enum, func, var = d.groups()
             if var:
-                if e := re.match(r"enum\s+([\w$]+)", rest[d.end() :]):
+                if e := _TS_ENUM.match(code, d.end()):
                     s.add_type(e[1], "enum")
                 else:
-                    s.key_funcs += _declared(code, at + d.end())
-            elif name := _NAME.match(rest, d.end()):
+                    s.key_funcs += _declared(code, d.end())
+            elif name := _NAME.match(code, d.end()):
                 if func:
                     s.key_funcs.append(name[0])
                 else:
                     s.add_type(name[0], cls or face or ("type" if alias else "enum"))
-        if c := re.match(r"\s*(?:type\s*)?\{([^}]*)\}", rest):
+        if c := _TS_LIST.match(code, at):
             for spec in c[1].split(","):
                 words = trim(spec).removeprefix("type ").split()
                 if words:
                     s.key_funcs.append(words[-1])
-        elif c := re.match(r"\s*\*\s*as\s+([\w$]+)", rest):
+        elif c := _TS_STAR.match(code, at):
             s.key_funcs.append(c[1])
     return s
 

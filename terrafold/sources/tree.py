@@ -1,11 +1,12 @@
 """Source trees as tables: spark.read.format("tree").
 
 Spark's own file sources drop names that begin with `_` or `.` and empty files, so the tree is walked here. Excluded
-directories are pruned while walking. The tree is split at its first levels into partitions; each yields rows of
+directories are pruned while walking. The tree is split from the top into partitions; each yields rows of
 (kind, rel_path, abs_path, size, mtime_ns, shebang, content), kind being file, dir, root_entry or manifest.
 """
 
 import os
+from collections import deque
 from operator import attrgetter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from terrafold.functions import classify
 
 SCHEMA = "kind string, rel_path string, abs_path string, size bigint, mtime_ns bigint, shebang string, content binary"
+#: Partitions of a scan, about; a directory that holds nearly all of a tree is split as well.
+PIECES = 128
 MANIFEST_NAMES = ("go.mod", *(n for names in classify.MANIFESTS.values() for n in names))
 
 
@@ -54,12 +57,13 @@ class TreeReader(DataSourceReader):
         self.suffixes = {s: lang for lang, ss in classify.SUFFIXES.items() for s in ss}
 
     def partitions(self):
-        """The root's own entries, and each directory of the first two levels."""
-        out = [Piece("", False, True)]
-        for name in self._dirs(""):
-            out.append(Piece(name, False))
-            out += [Piece(f"{name}/{sub}", True) for sub in self._dirs(name)]
-        return out
+        """The root's own entries; then directories from the top, alone until there are `PIECES`, and the rest with all below them."""
+        out, todo = [Piece("", False, True)], deque(self._dirs(""))
+        while todo and len(out) + len(todo) < PIECES:
+            rel = todo.popleft()
+            out.append(Piece(rel, False))
+            todo.extend(f"{rel}/{sub}" for sub in self._dirs(rel))
+        return out + [Piece(rel, True) for rel in todo]
 
     def _dirs(self, rel):
         with os.scandir(os.path.join(self.root, rel)) as it:

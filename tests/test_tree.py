@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+import time
 
 import pytest
 
@@ -41,6 +42,18 @@ def test_scan(spark, tmp_path):
     assert row["mtime_ns"] == os.stat(tmp_path / "main.go").st_mtime_ns and row["content"] is None
 
 
+def test_pieces(tmp_path, monkeypatch):
+    make(tmp_path, {f"one/two/{k}/{j}/f.go": "package p\n" for k in range(6) for j in range(5)})
+    rows = {}
+    for n in (2, 5, 20, 1000):
+        monkeypatch.setattr(tree, "PIECES", n)
+        reader = tree.TreeReader({"path": str(tmp_path)})
+        pieces = reader.partitions()
+        rows[n] = sorted(str(r) for p in pieces for r in reader.read(p))
+        assert len(pieces) <= max(n, 39) and (n < 1000 or len(pieces) == 39)
+    assert len(rows[2]) == 30 + 38 + 1 and len({str(r) for r in rows.values()}) == 1
+
+
 def test_shebang():
     assert [tree.shebang_of(x) for x in (b"#!/bin/sh -e\n", b"#! /usr/bin/env -i FOO\n", b"echo\n", b"#!\n", b"#!/usr/bin/env\n")] == ["sh", "foo", None, None, None]
 
@@ -148,6 +161,17 @@ func local() {}
     assert symbols("go", "package x\nfunc {").error and symbols("go", "var x = 1\n").error
 
 
+def test_patterns_and_long_files():
+    s = symbols("typescript", "const q = /[\"'/]/g; const r = a / b / c;\nexport const A = x.replace(/'/, '');\nexport function f() { return /`\\//.test(y) }\nexport class C {}\n")
+    assert s.key_funcs == ["A", "f"] and s.key_types == ["C"]
+    n = 4000
+    started = time.process_time()
+    go = symbols("go", "package p\n" + "".join(f"\n// T{k} is one.\ntype T{k} struct {{\n\tA int\n}}\n\nfunc New{k}() {{}}\n" for k in range(n)))
+    ts = symbols("typescript", "".join(f"export const v{k} = {{ a: [1, 2] }};\nexport class K{k} {{}}\n" for k in range(n)))
+    assert len(go.key_types) == len(go.key_funcs) == len(ts.key_types) == len(ts.key_funcs) == n and go.types[9] == ("T9", "struct", "T9 is one.")
+    assert time.process_time() - started < 20
+
+
 TREE = {
     "go.mod": "module example.org/test\n",
     "internal/foo/foo.go": "// Package foo has parts.\npackage foo\n\nimport \"example.org/test/internal/bar\"\n\ntype Bar struct{}\n\nfunc NewBar() {}\n",
