@@ -18,10 +18,13 @@ PATCH = r"\bapply_patch\b|\bgit\s+apply\b"
 
 
 def log_lines(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(file, line_no, line) of all *.jsonl files."""
-    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True)
-    named = text.select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("file"), "value")
-    return named.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """(file, line_no, line) of all *.jsonl files, which are split like any text; line_no ascends within a file, with gaps.
+
+    It is where the line's part of the file begins plus the line's number in its task, which has fewer lines than the part before has bytes.
+    """
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.jsonl").text(folder)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return text.select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("file"), (F.col("_metadata.file_block_start") + row).alias("line_no"), F.col("value").alias("line"))
 
 
 def project_folder(repo: str) -> str:

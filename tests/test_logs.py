@@ -128,3 +128,19 @@ def test_clones_count(spark, tmp_path):
         (tmp_path / "logs" / f"{name}.jsonl").write_text("\n".join(map(json.dumps, (meta, call))) + "\n")
     report = reports.session_report(spark, str(tmp_path / "repo"), logs_a=str(tmp_path / "logs"))
     assert next(m for m in report["metrics"] if m.get("source") == "a")["sessions"] == 1
+
+
+def test_long_logs_are_split(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 10), ("c", 1)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n": {k}}}\n' for k in range(n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = logs.log_lines(spark, str(tmp_path))
+        rows, parts = lines.collect(), lines.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert parts > 10
+    for name, n in (("a", 3000), ("b", 10), ("c", 1)):
+        own = sorted((r["line_no"], json.loads(r["line"])["n"]) for r in rows if r["file"].endswith(f"/{name}.jsonl"))
+        assert [k for _, k in own] == list(range(n)) and len({p for p, _ in own}) == n
