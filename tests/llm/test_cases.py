@@ -155,9 +155,8 @@ def test_what_the_pipeline_does(spark, tmp_path):
     texts = {i: "\n".join(prose(40) for _ in range(4)) for i in range(60)}
     clean = dict(texts)
     texts[100], texts[101] = texts[3], texts[4].upper()
-    near = texts[5].split(" ")
-    near[10] = near[60] = "other"
-    texts[102] = " ".join(near)
+    # a word of each line differs, so that no line is the same
+    texts[102] = "\n".join(" ".join("other" if k == 10 else w for k, w in enumerate(line.split(" "))) for line in texts[5].split("\n"))
     texts[103] = f"{prose(50)} {item} {prose(50)}"
     texts[104], texts[105] = f"{prose(30)}\n{shared}\n{prose(30)}", f"{prose(30)}\n{shared}\n{prose(30)}"
     texts[106] = item
